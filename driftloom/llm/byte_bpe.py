@@ -28,6 +28,29 @@ from .common import documents, slices
 CHUNK, OVERLAP, SPREAD = 16_384, 512, 1 << 20
 CACHE = 200_000
 
+#: Letters and numbers that the installed `regex` knows and the reference tokenizer's Unicode tables
+#: (version 16) don't; to those they are symbols.
+NEWER = regex.compile(
+    "[\\u0558\\u058B-\\u058C\\u088F\\u0C5C\\u0CDC\\u208F\\u209D-\\u209F\\uA7CE-\\uA7CF\\uA7D2\\uA7D4\\uA7DD\\uA7E2\\uA7F1\\uAB6C-\\uAB6D"
+    "\\U000107BB-\\U000107BF\\U00010940-\\U00010959\\U00010EC5-\\U00010EC7\\U00010ED9-\\U00010EEE\\U00011B0A\\U00011DB0-\\U00011DDB\\U00011DE0-\\U00011DE9"
+    "\\U00011DF1\\U0001246F\\U00012475-\\U0001247F\\U00012550-\\U00012686\\U00016EA0-\\U00016EB8\\U00016EBB-\\U00016ED3\\U00016FF2-\\U00016FF6"
+    "\\U000187F8-\\U000187FF\\U00018CD6-\\U00018CDA\\U00018D09-\\U00018D20\\U00018D80-\\U00018DF2\\U00018E00-\\U00019191\\U000191A0-\\U000191D2"
+    "\\U0001B123-\\U0001B128\\U0001B168\\U0001D6A6\\U0001DF1F-\\U0001DF24\\U0001DF2B-\\U0001DF81\\U0001DF90-\\U0001DF96\\U0001DFCD-\\U0001DFFF"
+    "\\U0001E6C0-\\U0001E6DE\\U0001E6E0-\\U0001E6E2\\U0001E6E4-\\U0001E6E5\\U0001E6E7-\\U0001E6ED\\U0001E6F0-\\U0001E6F4\\U0001E6FE-\\U0001E6FF"
+    "\\U0002B73A-\\U0002B73F\\U0002B81E\\U0002CEA2-\\U0002CEAD\\U000323B0-\\U00033479\\U0003D000-\\U0003FC3F]"
+)
+
+
+def scanned_as(text: str) -> str:
+    """The text with each of those characters replaced by a symbol, so that boundaries are the same."""
+    if text.isascii():
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return NEWER.sub("\u00a7", text)
+    return text
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -59,7 +82,7 @@ class ByteBpe:
 
     def ends(self, text: str, start: int = 0) -> list[int]:
         """Ends of the pre-tokens of a text from start on."""
-        return [m.end() for m in self.scan.finditer(text, start)]
+        return [m.end() for m in self.scan.finditer(scanned_as(text), start)]
 
     def encode_pieces(self, pieces: list[str]) -> bytes:
         cache, out = self._cache, []
@@ -76,7 +99,9 @@ class ByteBpe:
 
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
         if len(text) <= chunk + overlap:
-            return self.encode_pieces(self.scan.findall(text))
+            if (seen := scanned_as(text)) is text:
+                return self.encode_pieces(self.scan.findall(text))
+            return self.encode_pieces([text[m.start() : m.end()] for m in self.scan.finditer(seen)])
         cuts = chunk_starts(len(text), chunk)
         parts = [[s + e for e in self.ends(text[s : s + chunk + overlap])] for s in cuts]
         ends = stitch(self, text, parts, cuts, chunk + overlap)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, license_scan, line_dedup
+from . import byte_bpe, chat_format, exact_dedup, license_scan, line_dedup
 from .common import table
 
 BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -19,6 +19,13 @@ def op5_byte_bpe(spark, sf_dir):
     return byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), *BPE), *BPE))
 
 
+def op6_chat_format(spark, sf_dir):
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.read_back(chat_format.format_windows(rows))
+
+
 def op8_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
@@ -27,5 +34,5 @@ def op9_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_byte_bpe, op8_line_dedup, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_byte_bpe, op6_chat_format, op8_line_dedup, op9_license_scan)}
 SQL = {"op4_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL}
