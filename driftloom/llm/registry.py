@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, license_scan, line_dedup
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, license_scan, line_dedup, quality
 from .common import table
 
 BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_quality(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -34,5 +38,9 @@ def op9_license_scan(spark, sf_dir):
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_byte_bpe, op6_chat_format, op8_line_dedup, op9_license_scan)}
+def op10_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op4_exact_dedup, op5_byte_bpe, op6_chat_format, op8_line_dedup, op9_license_scan, op10_decontaminate)}
 SQL = {"op4_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL}
