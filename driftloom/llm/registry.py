@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, license_scan, line_dedup, quality
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, quality
 from .common import table
 
 BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -30,6 +30,10 @@ def op6_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.format_windows(rows))
 
 
+def op7_near_dedup(spark, sf_dir):
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op8_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
@@ -42,5 +46,5 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_exact_dedup, op5_byte_bpe, op6_chat_format, op8_line_dedup, op9_license_scan, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality, op4_exact_dedup, op5_byte_bpe, op6_chat_format, op7_near_dedup, op8_line_dedup, op9_license_scan, op10_decontaminate)}
 SQL = {"op4_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL}
