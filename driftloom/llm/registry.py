@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, quality, toxicity
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, quality, suffix_tree_lm, toxicity
 from .common import table
 
 BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -15,6 +15,10 @@ def op1_quality(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_tree_lm(spark, sf_dir):
+    return suffix_tree_lm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,5 +54,5 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_toxicity, op4_exact_dedup, op5_byte_bpe, op6_chat_format, op7_near_dedup, op8_line_dedup, op9_license_scan, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix_tree_lm, op3_toxicity, op4_exact_dedup, op5_byte_bpe, op6_chat_format, op7_near_dedup, op8_line_dedup, op9_license_scan, op10_decontaminate)}
 SQL = {"op4_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL}

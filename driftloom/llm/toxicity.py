@@ -7,7 +7,7 @@ and a document's score is that of its worst window. Every window of every text i
 
 A document's label says only that some window is toxic, so training repeats: choose each document's most toxic window
 by the present model (by the log odds at first), then take Adam steps on those. It takes a bounded sample: at most
-`sample_rows` labelled rows of each class, of texts up to `sample_bytes`. The model has a fixed size.
+`sample_rows` toxic and three times as many other labelled rows, of texts up to `sample_bytes`. The model has a fixed size.
 
 Word vectors times input weights are computed once for each distinct word of a task and looked up after that.
 """
@@ -288,8 +288,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, s
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter("y IN (0, 1) AND doc_id IS NOT NULL").filter(bucket_of(F.col("doc_id"), folds) != 0)
     # ids first, so that only the sample's texts move
     fits = rows.filter(F.octet_length("text") <= sample_bytes).select("doc_id").filter("doc_id IS NOT NULL").join(known, "doc_id").distinct()
-    picked = [r for y in (0, 1) for r in fits.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()]
-    chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, y int"))  # at most 2 * sample_rows ids
+    picked = [r for y in (0, 1) for r in fits.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows * (1 if y else 3)).collect()]
+    chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, y int"))  # at most 4 * sample_rows ids
     sample = rows.filter(F.octet_length("text") <= sample_bytes).join(chosen, "doc_id").select("doc_id", "text", "y").collect()
     sample.sort(key=lambda r: (r.doc_id, r.text, r.y))
     net = spark.sparkContext.broadcast(train([r.text.encode("utf-8", "replace") for r in sample], np.array([r.y for r in sample], f32)))
