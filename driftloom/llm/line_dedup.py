@@ -207,23 +207,43 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, keys_per_shard: int = KEYS
     of them stay. Null and empty texts are one empty line. A null id ranks after every other; where only rows
     without id hold a key, nothing goes. Rows that repeat an id are one document and keep the same lines. Every line
     of a text may go: the rest is then empty and n_dropped equals n_lines. An empty table gives no rows."""
+    rows = documents(docs)
+    return _cut(rows, _drops_of(rows, min_chars, keys_per_shard), "doc_id long, kept_text string, n_lines long, n_dropped long", "kept_text")
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = 10, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
+    """The rows of docs with all their columns, text as dedup_lines keeps it and n_chars (where there is one) to match."""
+    rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    out = _cut(rows, _drops_of(docs, min_chars, keys_per_shard), rows.schema, "text")
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def _drops_of(docs: DataFrame, min_chars: int, keys_per_shard: int) -> DataFrame:
     refs = materialise(line_refs(docs, min_chars), "line-refs")
-    drops = dropped_lines(refs, repeated_keys(refs, keys_per_shard))
-    rows = documents(docs).select("doc_id", "text", F.xxhash64("text").alias("tag"))
-    joined = rows.join(drops.withColumnsRenamed({"doc_id": "d_id", "tag": "d_tag"}), F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("tag") == F.col("d_tag")), "left")
-    schema = pa.schema([("doc_id", pa.int64()), ("kept_text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
+    return dropped_lines(refs, repeated_keys(refs, keys_per_shard))
+
+
+def _cut(rows: DataFrame, drops: DataFrame, schema, text_column: str) -> DataFrame:
+    """rows with text_column, n_lines and n_dropped (as far as the schema names them) after the drops."""
+    names = {"doc_id": "_d_id", "tag": "_d_tag", "drops": "_drops"}
+    tag = F.xxhash64(F.col("text"))
+    joined = rows.withColumn("_tag", tag).join(drops.withColumnsRenamed(names), F.col("doc_id").eqNullSafe(F.col("_d_id")) & (F.col("_tag") == F.col("_d_tag")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, n_lines, n_dropped = [], [], []
-            for text, drop in zip(as_bytes(batch, "text"), batch.column("drops").to_pylist(), strict=True):
+            for text, drop in zip(as_bytes(batch, "text"), batch.column("_drops").to_pylist(), strict=True):
                 lines, drop = text.split(b"\n"), set(drop or ())
                 texts.append(b"\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
                 n_lines.append(len(lines))
                 n_dropped.append(len(drop))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string(), safe=False), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], schema=schema)
+            made = {text_column: pa.array(texts, pa.binary()).cast(pa.string(), safe=False), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
+            columns = {n: batch.column(n) for n in own if n != "text"} | {n: made[n] for n in made if n in wanted}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in wanted], names=wanted)
 
-    return joined.select("doc_id", "text", "drops").mapInArrow(cut, "doc_id long, kept_text string, n_lines long, n_dropped long")
+    own = rows.columns
+    wanted = [f.name for f in schema] if not isinstance(schema, str) else [x.split()[0] for x in schema.split(", ")]
+    return joined.select(*own, "_drops").mapInArrow(cut, schema)
 
 
 def update_shards(state: DataFrame | None, refs: DataFrame, sign: int, n_shards: int) -> DataFrame:

@@ -206,3 +206,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
 
     out = feats.mapInArrow(scored, "doc_id long, score double")
     return out.select("doc_id", (bucket_of(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = 20_000, folds: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, that score_quality would predict 1. No row moves: once the model is
+    fitted, each task scores and filters its own rows."""
+    model = train(materialise(featurise(docs), "quality"), labels, "quality", sample_rows, folds)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = np.array([features(t) for t in as_bytes(batch, "text")], np.float32).astype(np.float64)
+            yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(passed, docs.schema)
