@@ -1,7 +1,388 @@
-"""Queries of the change-set engine."""
+"""Queries of the change-set engine over the driver's tables, each beside the same query in SQL.
+
+The relational operators are column-parametric; here orders and their lines stand for hunks and units, suppliers for
+signature keys, and consecutive turns of a conversation for the two sides of a text change.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as fn
+from ..operators import grouping as g
+from ..operators import joins as j
+from ..operators import risk as rk
+from ..operators import views as v
 
 QUERIES, SQL = {}, {}
 
 
-def FLAGSHIP(spark, sf_dir):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    out = spark.read.parquet(f"{sf}/{name}.parquet")
+    return out.select(*columns) if columns else out
+
+
+def signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """cs, hunk, unit, key, kind, old, new, detail, path."""
+    rows = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")
+    orders = read(spark, sf, "orders", "o_orderkey", "o_orderpriority")
+    qty = F.col("l_quantity").cast("int")
+    return rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        (F.col("l_orderkey") % 3).alias("cs"), F.col("l_orderkey").alias("hunk"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("unit"), F.col("l_suppkey").alias("key"),
+        F.when(F.col("l_returnflag") == "A", "rename").when(F.col("l_returnflag") == "N", "docs").otherwise("guard").alias("kind"),
+        F.col("l_returnflag").alias("old"), F.col("l_linestatus").alias("new"), F.when(qty < 10, "").otherwise((qty % 5).cast("string")).alias("detail"), F.col("o_orderpriority").alias("path"),
+    )
+
+
+SIG = """sig AS (SELECT l_orderkey % 3 AS cs, l_orderkey AS hunk, l_orderkey * 10 + l_linenumber AS unit, l_suppkey AS key,
+ CASE l_returnflag WHEN 'A' THEN 'rename' WHEN 'N' THEN 'docs' ELSE 'guard' END AS kind, l_returnflag AS old, l_linestatus AS new,
+ CASE WHEN CAST(l_quantity AS INT) < 10 THEN '' ELSE CAST(CAST(l_quantity AS INT) % 5 AS VARCHAR) END AS detail, o_orderpriority AS path
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+GRP = SIG + """, grp AS (SELECT cs, key, count(DISTINCT unit) AS units, count(*) AS members, count(DISTINCT path) AS files, min(unit) AS first, arg_min(kind, unit) AS kind FROM sig GROUP BY cs, key),
+ gm AS (SELECT *, kind NOT IN ('substitution', 'guard') AND (kind IN ('formatting', 'docs', 'move', 'cascade', 'fixture') OR units >= 20) AS mechanical FROM grp),
+ ex AS (SELECT s.unit, any_value(s.hunk) AS hunk, any_value(s.cs) AS cs, any_value(s.path) AS path, bool_and(mechanical) AS explained FROM sig s JOIN gm USING (cs, key) GROUP BY s.unit)"""
+
+
+#: One row for each order line: the table repeats some.
+LINES = "li AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL)"
+
+
+def lines_of(spark, sf):
+    return read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("l_returnflag"))
+
+
+def groups_of(spark, sf):
+    return g.build_groups(signatures(spark, sf), ["cs", "key"], "unit", "path", "kind", "unit", min_count=20)
+
+
+def units_of(spark, sf):
+    rows = signatures(spark, sf)
+    units = rows.select("unit", "hunk", "cs", "path").distinct()
+    return g.explained(units, rows, groups_of(spark, sf), ["cs", "key"], ["unit"])
+
+
+@query(f"WITH {GRP} SELECT cs, key, kind, units, members, files, first, mechanical FROM gm")
+def a1_build_groups(spark, sf):
+    return groups_of(spark, sf)
+
+
+@query(f"WITH {SIG}, c AS (SELECT cs, key, old, new, count(*) AS n, min(unit) AS f FROM sig GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cs, key ORDER BY n DESC, f) AS k, count(*) OVER (PARTITION BY cs, key) AS variants FROM c) SELECT cs, key, old, new, variants FROM r WHERE k = 1")
+def a2_representative(spark, sf):
+    return g.representative(signatures(spark, sf), ["cs", "key"], ["old", "new"], "unit")
+
+
+@query(f"WITH {SIG}, c AS (SELECT cs, key, detail, count(*) AS n, min(unit) AS f FROM sig WHERE detail <> '' GROUP BY ALL) SELECT cs, key, string_agg(detail || ':' || n, ',' ORDER BY n DESC, f) AS details FROM c GROUP BY cs, key")
+def a3_details(spark, sf):
+    got = g.details(signatures(spark, sf), ["cs", "key"], "detail", "unit")
+    return got.select("cs", "key", F.array_join(F.transform("details", lambda d: F.concat(d["detail"], F.lit(":"), d["n"].cast("string"))), ",").alias("details"))
+
+
+@query(f"WITH {GRP} SELECT cs, kind, count(*) AS groups, count(*) FILTER (mechanical) AS mechanical_groups FROM gm GROUP BY cs, kind")
+def a4_mechanical(spark, sf):
+    return groups_of(spark, sf).groupBy("cs", "kind").agg(F.count(F.lit(1)).alias("groups"), F.count_if("mechanical").alias("mechanical_groups"))
+
+
+@query(f"WITH {GRP} SELECT unit, hunk, cs, path, explained FROM ex")
+def a5_explained(spark, sf):
+    return units_of(spark, sf)
+
+
+@query(f"WITH {GRP} SELECT cs, count(*) AS units, count(*) FILTER (explained) AS explained_units, count(*) FILTER (NOT explained) AS residual_units, CAST(round_even(100.0 * count(*) FILTER (explained) / count(*), 0) AS INT) AS collapsed_pct FROM ex GROUP BY cs")
+def a6_stats(spark, sf):
+    return g.stats(units_of(spark, sf), ["cs"])
+
+
+@query(f"WITH {GRP} SELECT path, count(*) AS units, count(*) FILTER (explained) AS explained_units, count(*) FILTER (NOT explained) AS residual_units, CAST(round_even(100.0 * count(*) FILTER (explained) / count(*), 0) AS INT) AS collapsed_pct FROM ex GROUP BY path")
+def a7_file_rollup(spark, sf):
+    return g.stats(units_of(spark, sf), ["path"])
+
+
+@query(f"WITH {GRP} SELECT hunk, count(*) AS units, count(*) FILTER (NOT explained) AS \"left\" FROM ex GROUP BY hunk HAVING bool_or(NOT explained)")
+def a8_residual_hunks(spark, sf):
+    return g.residual(units_of(spark, sf), ["hunk"])
+
+
+@query("""WITH p AS (SELECT p_brand AS old, p_type AS new, count(*) AS size, min(p_partkey) AS first FROM part GROUP BY ALL)
+SELECT old, count(*) AS targets, arg_max(new, size * 1000000000 - first) AS biggest, sum(size)::BIGINT AS total FROM p GROUP BY old HAVING count(*) > 1""")
+def a9_inconsistent(spark, sf):
+    p = read(spark, sf, "part").groupBy(F.col("p_brand").alias("old"), F.col("p_type").alias("new")).agg(F.count(F.lit(1)).alias("size"), F.min("p_partkey").alias("first"))
+    return g.several_targets(p, [], "old", "new", "size", "first")
+
+
+@query("""WITH w AS (SELECT o_orderkey % 5 AS old_side, unnest(regexp_extract_all(o_orderpriority, '[A-Za-z]+')) AS word, o_orderstatus FROM orders),
+c AS (SELECT lower(word) AS word, count(*) FILTER (old_side < 2) AS o, count(*) FILTER (old_side >= 2) AS n FROM w GROUP BY 1)
+SELECT word, o AS old_n, n AS new_n, abs(o - n) / (SELECT sum(o + n) FROM c) AS score FROM c""")
+def a11_word_scores(spark, sf):
+    w = read(spark, sf, "orders").select((F.col("o_orderkey") % 5 < 2).alias("old"), F.explode(F.regexp_extract_all("o_orderpriority", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
+    c = w.groupBy(F.lower("word").alias("word")).agg(F.count_if("old").alias("old_n"), F.count_if(~F.col("old")).alias("new_n"))
+    total = c.agg(F.sum(F.col("old_n") + F.col("new_n")).alias("total"))
+    return c.join(F.broadcast(total)).select("word", "old_n", "new_n", (F.abs(F.col("old_n") - F.col("new_n")) / F.col("total")).alias("score"))
+
+
+@query("SELECT l_suppkey AS name, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN -1 ELSE 0 END) AS BIGINT) AS net FROM lineitem GROUP BY 1 HAVING net > 0")
+def a15_signed_sum(spark, sf):
+    sign = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", -1).otherwise(0)
+    return read(spark, sf, "lineitem", "l_suppkey", "l_returnflag").groupBy(F.col("l_suppkey").alias("name")).agg(F.sum(sign).cast("long").alias("net")).filter("net > 0")
+
+
+RISK = """r AS (SELECT l_orderkey AS hunk, l_linenumber AS line, l_discount * 10 AS c1, l_tax * 8 AS c2, l_quantity / 10 AS blast, l_linenumber % 5 AS effort, l_tax * 10 AS beyond,
+ CASE WHEN l_returnflag = 'N' THEN 'none' ELSE l_returnflag END AS main, l_discount * 8 AS conf FROM lineitem),
+f AS (SELECT *, greatest(least(c1, 1), least(c2, 1)) AS worst, least(blast, 4) / 4 * (0.5 + 0.5 * least(effort, 4) / 4) AS scope FROM r),
+b AS (SELECT *, least(0.6 * worst + 0.4 * scope, 1) AS base FROM f),
+k AS (SELECT *, least(base + 0.25 * least(beyond, 1) * (1 - base), 1) AS risk, worst >= 0.8 OR (main <> 'none' AND least(conf, 1) >= 0.6) AS flagged FROM b)"""
+
+
+@query(f"WITH {RISK} SELECT hunk, line, round(risk, 9) AS risk, flagged, CASE WHEN flagged AND risk >= 0.6 THEN 'high' WHEN flagged OR risk >= 0.3 THEN 'medium' ELSE 'low' END AS level FROM k")
+def a17_risk(spark, sf):
+    rows = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity", "l_returnflag")
+    concerns = [F.col("l_discount") * 10, F.col("l_tax") * 8]
+    main = F.when(F.col("l_returnflag") == "N", "none").otherwise(F.col("l_returnflag"))
+    flag = rk.flagged(concerns, main, F.col("l_discount") * 8)
+    value = rk.risk(concerns, F.col("l_quantity") / 10, F.col("l_linenumber") % 5, F.col("l_tax") * 10, 4, 4)
+    return rows.select(F.col("l_orderkey").alias("hunk"), F.col("l_linenumber").alias("line"), value.alias("r"), flag.alias("flagged")).select("hunk", "line", F.round("r", 9).alias("risk"), "flagged", rk.level(F.col("r"), F.col("flagged")).alias("level"))
+
+
+@query("""WITH d AS (SELECT l_orderkey AS d_id, l_linenumber AS line, l_partkey AS stream FROM lineitem WHERE l_returnflag = 'R'), i AS (SELECT l_orderkey AS i_id, l_linenumber AS line, l_partkey AS stream FROM lineitem WHERE l_returnflag = 'A'),
+dk AS (SELECT stream, d_id * 10 + line AS d_id, row_number() OVER (PARTITION BY stream ORDER BY d_id, line) AS k FROM d), ik AS (SELECT stream, i_id * 10 + line AS i_id, row_number() OVER (PARTITION BY stream ORDER BY i_id, line) AS k FROM i)
+SELECT stream, k, d_id, i_id FROM dk JOIN ik USING (stream, k)""")
+def j2_exact_moves(spark, sf):
+    rows = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    side = lambda flag, name: rows.filter(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("stream"), F.col("id").alias(name))
+    return j.exact_pairs(side("R", "d_id"), side("A", "i_id"), ["stream"], "d_id", "i_id").withColumn("k", F.col("k").cast("long"))
+
+
+@query("SELECT a.p_partkey AS l_id, b.p_partkey AS r_id, a.p_size AS l_size, b.p_size AS r_size FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND b.p_size BETWEEN 0.6 * a.p_size AND 1.6 * a.p_size WHERE a.p_partkey % 10 = 0 AND b.p_partkey % 10 = 1")
+def j3_band_pairs(spark, sf):
+    p = read(spark, sf, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").alias("size"))
+    le, ri = p.filter("p_partkey % 10 = 0").withColumnRenamed("p_partkey", "l_id"), p.filter("p_partkey % 10 = 1").withColumnRenamed("p_partkey", "r_id").withColumnRenamed("size", "r_size")
+    return j.band_pairs(le, ri, ["p_brand", "p_type"], "size").select("l_id", "r_id", "l_size", "r_size")
+
+
+@query("SELECT l_partkey AS stream, count(*) AS n FROM lineitem GROUP BY 1")
+def j8_multiplicity(spark, sf):
+    return j.multiplicity(read(spark, sf, "lineitem").select(F.col("l_partkey").alias("stream")), ["stream"])
+
+
+@query("""WITH e AS (SELECT l_orderkey AS path, l_partkey AS new FROM lineitem WHERE l_returnflag = 'A'), t AS (SELECT DISTINCT l_orderkey AS path, l_partkey AS new FROM lineitem WHERE l_returnflag = 'R')
+SELECT e.path, e.new, CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.path = e.path AND t.new = e.new) THEN 'file' WHEN EXISTS (SELECT 1 FROM t WHERE t.new = e.new) THEN 'any' END AS survives FROM e""")
+def j15_surviving(spark, sf):
+    rows = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_partkey").alias("new"), "l_returnflag")
+    edits, base = rows.filter("l_returnflag = 'A'").drop("l_returnflag"), rows.filter("l_returnflag = 'R'").select("path", F.col("new").alias("token"))
+    return j.surviving(edits, base, [], "new", "token", "path")
+
+
+@query("""WITH m AS (SELECT l_partkey AS name, count(*) AS mentions, bool_and(l_returnflag <> 'N') AS every FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
+SELECT name, mentions FROM m WHERE mentions >= 2 AND every AND name NOT IN (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O')""")
+def j16_gone_names(spark, sf):
+    rows = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("name"), "l_linestatus", (F.col("l_returnflag") != "N").alias("changed"))
+    return j.all_changed(rows.filter("l_linestatus = 'F'"), rows.filter("l_linestatus = 'O'"), [], "name", "changed")
+
+
+@query("""WITH o AS (SELECT DISTINCT l_suppkey AS parent, l_partkey AS path FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT DISTINCT l_suppkey AS parent, l_partkey AS path FROM lineitem WHERE l_returnflag = 'A')
+SELECT parent, path FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.path = o.path AND n.parent = o.parent) AND parent IN (SELECT parent FROM n)""")
+def j19_dropped_members(spark, sf):
+    rows = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("parent"), F.col("l_partkey").alias("path"), "l_returnflag")
+    side = lambda flag: rows.filter(F.col("l_returnflag") == flag).drop("l_returnflag").distinct()
+    return j.gone(side("R"), side("A"), ["parent", "path"], ["parent"])
+
+
+@query("""WITH n AS (SELECT DISTINCT regexp_replace(url, '^https?://', '') AS name FROM pages), k AS (SELECT DISTINCT regexp_extract(name, '^[^/]+', 0) AS key FROM n)
+SELECT name, key FROM n JOIN k ON name = key OR starts_with(name, key || '/')""")
+def j20_longest_prefix(spark, sf):
+    names = read(spark, sf, "pages").select(F.regexp_replace("url", "^https?://", "").alias("name")).distinct()
+    return j.longest_prefix(names, names.select(F.regexp_extract("name", "^[^/]+", 0).alias("key")).distinct(), [], "name", "key", "/")
+
+
+@query("""WITH p AS (SELECT event_id AS id, user_id AS u, event_id % 500 AS at FROM events), s AS (SELECT DISTINCT user_id AS u, event_id % 400 AS s, event_id % 400 + event_id % 90 AS e FROM events),
+m AS (SELECT p.u, p.id, s.s, s.e, row_number() OVER (PARTITION BY p.id ORDER BY s.e - s.s, s.s, s.e) AS k FROM p JOIN s ON p.u = s.u AND p.at BETWEEN s.s AND s.e) SELECT u, id, s, e FROM m WHERE k = 1""")
+def j22_innermost(spark, sf):
+    ev = read(spark, sf, "events")
+    points = ev.select(F.col("event_id").alias("id"), F.col("user_id").alias("u"), (F.col("event_id") % 500).alias("at"))
+    spans = ev.select(F.col("user_id").alias("u"), (F.col("event_id") % 400).alias("s"), (F.col("event_id") % 400 + F.col("event_id") % 90).alias("e")).distinct()
+    return j.innermost(points, spans, ["u"], "at", "s", "e", ["id"])
+
+
+@query("SELECT l_partkey AS old, min(l_suppkey) AS new FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
+def j23_rename_map(spark, sf):
+    return g.unambiguous(read(spark, sf, "lineitem").select(F.col("l_partkey").alias("old"), F.col("l_suppkey").alias("new")), [], "old", "new")
+
+
+@query("""WITH n AS (SELECT DISTINCT l_partkey AS name FROM lineitem WHERE l_returnflag = 'R' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'))
+SELECT name, count(*) AS total, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem JOIN n ON l_partkey = name WHERE l_returnflag = 'N' GROUP BY name""")
+def j24_left_over(spark, sf):
+    rows = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("name"), "l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    side = lambda flag: rows.filter(F.col("l_returnflag") == flag)
+    got = j.left_over(side("R").withColumnRenamed("name", "old"), side("N"), side("A"), [], "old", "name", 50, ["at"])
+    return got.select("name", "total", F.get(F.col("locations.at"), 0).alias("first"))
+
+
+def turns(spark, sf):
+    """Consecutive turns of a conversation as the old and new text of a change: conv_id, turn, old, new."""
+    rows = read(spark, sf, "conversations", "conv_id", "turn", "text")
+    return rows.withColumn("old", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("old IS NOT NULL").select("conv_id", "turn", "old", F.col("text").alias("new"))
+
+
+TURNS = "t AS (SELECT * FROM (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old, text AS new FROM conversations) WHERE old IS NOT NULL)"
+
+
+@query(f"""WITH {TURNS}, w AS (SELECT conv_id, turn, 'a' AS side, unnest(regexp_extract_all(old, '[^ \\n]+')) AS tok FROM t UNION ALL SELECT conv_id, turn, 'b', unnest(regexp_extract_all(new, '[^ \\n]+')) FROM t),
+c AS (SELECT conv_id, turn, tok, count(*) FILTER (side = 'a') AS ca, count(*) FILTER (side = 'b') AS cb FROM w GROUP BY ALL)
+SELECT conv_id, turn, round(2 * sum(least(ca, cb)) / sum(ca + cb), 9) AS quick_ratio FROM c GROUP BY conv_id, turn""")
+def d6_quick_ratio(spark, sf):
+    t = turns(spark, sf)
+    side = lambda c, s: t.select("conv_id", "turn", F.lit(s).alias("side"), F.explode(F.regexp_extract_all(c, F.lit(r"[^ \n]+"), F.lit(0))).alias("tok"))
+    got = j.quick_ratio(side("old", "a").unionByName(side("new", "b")), ["conv_id", "turn"], "side", "tok")
+    return got.withColumn("quick_ratio", F.round("quick_ratio", 9))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role FROM conversations), f AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER w THEN 0 ELSE 1 END AS t FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT *, sum(t) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM f) SELECT conv_id, island::BIGINT AS island, any_value(role) AS role, count(*) AS n, min(turn) AS start, max(turn) AS "end" FROM s GROUP BY conv_id, island""")
+def d16_islands(spark, sf):
+    return v.islands(read(spark, sf, "conversations", "conv_id", "turn", "role"), ["conv_id"], ["turn"], "role").withColumn("island", F.col("island").cast("long"))
+
+
+@query("""WITH r AS (SELECT l_suppkey AS k, l_partkey % 1000 AS s, l_partkey % 1000 + l_linenumber AS e FROM lineitem), m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM r),
+x AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m) SELECT k, min(s) AS s, max(e) AS e FROM x GROUP BY k, i""")
+def c15_merge_ranges(spark, sf):
+    rows = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 1000).alias("s"), (F.col("l_partkey") % 1000 + F.col("l_linenumber")).alias("e"))
+    return v.merged_ranges(rows, ["k"], "s", "e")
+
+
+@query(f"""WITH {LINES}, l AS (SELECT l_orderkey AS k, l_linenumber AS no, CASE l_returnflag WHEN 'R' THEN '-' WHEN 'A' THEN '+' ELSE ' ' END AS kind, l_partkey AS txt FROM li), c AS (SELECT *, kind <> ' ' AS c FROM l),
+r AS (SELECT *, sum(CASE WHEN c AND NOT coalesce(p, false) THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY no ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(c) OVER (PARTITION BY k ORDER BY no) AS p FROM c)),
+n AS (SELECT *, row_number() OVER (PARTITION BY k, run, kind ORDER BY no) AS i FROM r WHERE c)
+SELECT coalesce(a.k, b.k) AS path, coalesce(a.run, b.run)::BIGINT AS run, coalesce(a.i, b.i)::BIGINT AS nth, a.txt AS old, b.txt AS new FROM (SELECT * FROM n WHERE kind = '-') a FULL JOIN (SELECT * FROM n WHERE kind = '+') b ON a.k = b.k AND a.run = b.run AND a.i = b.i""")
+def d14_side_by_side(spark, sf):
+    kind = F.when(F.col("l_returnflag") == "R", "-").when(F.col("l_returnflag") == "A", "+").otherwise(" ")
+    rows = lines_of(spark, sf).select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("no"), kind.alias("kind"), F.col("l_partkey").alias("txt"))
+    return v.side_by_side(rows, ["path"], "no", "kind", "txt").select("path", F.col("run").cast("long").alias("run"), F.col("k").cast("long").alias("nth"), "old", "new")
+
+
+@query("SELECT user_id, event_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+def w1_first_occurrence(spark, sf):
+    return v.first_by(read(spark, sf, "events", "user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"])
+
+
+@query("SELECT user_id, event_id, last_value(CASE WHEN event_id % 3 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS name FROM events")
+def w7_trail_fill(spark, sf):
+    rows = read(spark, sf, "events").select("user_id", "event_id", "ts", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("name"))
+    return v.filled(rows, ["user_id"], ["ts", "event_id"], "name").drop("ts")
+
+
+@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id FROM n WHERE i = 0 OR i = n // 2 OR i = n - 1""")
+def w10_samples(spark, sf):
+    return v.samples(read(spark, sf, "events", "user_id", "event_id"), ["user_id"], ["event_id"])
+
+
+@query("SELECT user_id, event_id, event_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY NOT (event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1)")
+def w11_adjacent_duplicates(spark, sf):
+    return v.without_repeats(read(spark, sf, "events", "user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"], ["event_type"]).drop("ts")
+
+
+@query(f"WITH {LINES} SELECT l_orderkey AS path, l_linenumber AS no, CAST(sum(CASE l_returnflag WHEN 'R' THEN -1 WHEN 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth FROM li")
+def w4_depth(spark, sf):
+    d = F.when(F.col("l_returnflag") == "R", -1).when(F.col("l_returnflag") == "A", 1).otherwise(0)
+    rows = lines_of(spark, sf).select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("no"), d.alias("d"))
+    return v.running_depth(rows, ["path"], ["no"], "d").select("path", "no", F.col("depth").cast("long").alias("depth"))
+
+
+@query(f"WITH {GRP} SELECT cs, key, mechanical, units, row_number() OVER (PARTITION BY cs ORDER BY NOT mechanical, kind IN ('formatting', 'docs', 'move', 'cascade', 'fixture'), units DESC, first) AS place FROM gm")
+def o2_group_order(spark, sf):
+    w = Window.partitionBy("cs").orderBy(~F.col("mechanical"), F.col("kind").isin(g.ALWAYS), F.desc("units"), "first")
+    return groups_of(spark, sf).select("cs", "key", "mechanical", "units", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS unit, l_extendedprice AS score, row_number() OVER w AS rank FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) QUALIFY row_number() OVER w <= 2")
+def o3_top_two(spark, sf):
+    rows = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("unit"), F.col("l_extendedprice").alias("score"))
+    return v.top_by(rows, ["k"], [F.desc("score"), "unit"], 2).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 200 OFFSET 100")
+def o11_page(spark, sf):
+    return v.page(read(spark, sf, "orders", "o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 100, 200)
+
+
+@query("SELECT l_orderkey AS path, l_linenumber AS no, l_discount AS risk, max(l_discount) OVER (PARTITION BY l_orderkey) AS file_risk FROM lineitem")
+def o13_risk_sort(spark, sf):
+    rows = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("no"), F.col("l_discount").alias("risk"))
+    return rows.withColumn("file_risk", F.max("risk").over(Window.partitionBy("path"))).orderBy(F.desc("file_risk"), "path", F.desc("risk"), "no")
+
+
+@query("""SELECT o_orderkey AS path, CASE WHEN c = 'source' AND r > 0 AND s = 'A' THEN 1 WHEN c = 'source' AND r > 0 THEN 2 WHEN c = 'config' AND r > 0 THEN 3 WHEN c = 'tests' AND r > 0 THEN 4 WHEN c = 'docs' AND r > 0 THEN 5 WHEN r > 0 THEN 6 WHEN p THEN 8 ELSE 7 END AS layer
+FROM (SELECT o_orderkey, ['source', 'config', 'tests', 'docs', 'other'][(o_custkey % 5 + 1)::INT] AS c, o_orderkey % 4 AS r, CASE o_orderstatus WHEN 'F' THEN 'A' ELSE 'M' END AS s, o_custkey % 2 = 0 AS p FROM orders)""")
+def o15_story_layers(spark, sf):
+    cat = F.element_at(F.array(*map(F.lit, ("source", "config", "tests", "docs", "other"))), (F.col("o_custkey") % 5 + 1).cast("int"))
+    got = v.layer(cat, F.col("o_orderkey") % 4, F.col("o_custkey") % 2 == 0, F.when(F.col("o_orderstatus") == "F", "A").otherwise("M"))
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), got.alias("layer"))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey % 100 AS id, l_partkey AS fp FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT DISTINCT l_orderkey % 100 AS id, l_partkey AS fp FROM lineitem WHERE l_returnflag = 'A'), m AS (SELECT * FROM s WHERE fp % 2 = 0)
+SELECT id, fp, 'new' AS what FROM n ANTI JOIN s USING (id, fp) UNION ALL SELECT id, fp, 'changed' FROM m ANTI JOIN n USING (id, fp)""")
+def u3_delta(spark, sf):
+    rows = read(spark, sf, "lineitem").select((F.col("l_orderkey") % 100).alias("id"), F.col("l_partkey").alias("fp"), "l_returnflag")
+    side = lambda flag: rows.filter(F.col("l_returnflag") == flag).select("id", "fp").distinct()
+    return v.delta(side("R"), side("A"), side("R").filter("fp % 2 = 0"), ["id"], "fp")
+
+
+@query("""WITH x AS (SELECT o_custkey, list_sort(list(o_orderkey)) AS marks FROM orders GROUP BY 1) SELECT o_custkey, array_to_string(list_concat(list_filter(marks, lambda y: y % 2 <> 0), [-1]), ',') AS marks FROM x""")
+def u4_marks(spark, sf):
+    rows = read(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("m"))
+    after = v.marks_after(F.col("m"), F.filter("m", lambda y: y % 2 == 0), F.array(F.lit(-1).cast("long")))
+    return rows.select("o_custkey", F.array_join(after.cast("array<string>"), ",").alias("marks"))
+
+
+@query("SELECT doc_id, substr(sha1(concat_ws(chr(31), doc_id, coalesce(lang, ''), source)), 1, 12) AS id FROM documents")
+def f_short_hash(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", fn.short_hash(F.col("doc_id"), F.col("lang"), F.col("source")).alias("id"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN text = '' THEN 0 WHEN ends_with(text, chr(10)) THEN length(text) - length(replace(text, chr(10), '')) ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS lines, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM conversations WHERE text IS NOT NULL")
+def f_split_collapse(spark, sf):
+    return read(spark, sf, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", F.size(fn.split_lines(F.col("text"))).cast("long").alias("lines"), fn.collapse_ws(F.col("text")).alias("flat"))
+
+
+PATHS = "['src/app.py', 'tests/a.py', 'docs/x.rst', 'README.md', 'pkg/test_b.py', 'setup.py', '.github/w.yml', 'web/ui.spec.ts', 'data.bin', 'a/specs/y.json'][(p_partkey % 10 + 1)::INT]"
+CATS = "['source', 'tests', 'docs', 'docs', 'tests', 'config', 'config', 'tests', 'other', 'tests'][(p_partkey % 10 + 1)::INT]"
+
+
+@query(f"SELECT p_partkey, {PATHS} AS path, {CATS} AS category FROM part")
+def f_categorize(spark, sf):
+    names = F.array(*map(F.lit, ("src/app.py", "tests/a.py", "docs/x.rst", "README.md", "pkg/test_b.py", "setup.py", ".github/w.yml", "web/ui.spec.ts", "data.bin", "a/specs/y.json")))
+    rows = read(spark, sf, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % 10 + 1).cast("int")).alias("path"))
+    return rows.withColumn("category", fn.categorize(F.col("path"), fn.language(F.col("path")).isNotNull()))
+
+
+@query("SELECT event_id, regexp_replace(regexp_replace(props, '\"[^\"]*\"', '<str>', 'g'), '(^|[^A-Za-z0-9_<])[0-9][A-Za-z0-9_.]*', '\\1<num>', 'g') AS props FROM events")
+def f_normalize_literals(spark, sf):
+    return read(spark, sf, "events").select("event_id", fn.normalize_literals(F.col("props")).alias("props"))
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_name) > 12 THEN substr(p_name, 1, 11) || '…' ELSE p_name END AS short FROM part")
+def f_cut_chars(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", fn.cut_chars(F.col("p_name"), 12).alias("short"))
+
+
+@query("""SELECT l_orderkey AS path, count(*) AS units FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority <> '5-LOW' AND NOT l_linestatus = 'F' AND contains(lower(o_orderpriority), 'h') GROUP BY 1""")
+def q_visible_units(spark, sf):
+    o = read(spark, sf, "orders", "o_orderkey", "o_orderpriority")
+    rows = read(spark, sf, "lineitem", "l_orderkey", "l_linestatus").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", F.col("o_orderpriority").alias("category"), F.col("o_orderpriority").alias("text"), F.array("l_linestatus").alias("tags"), F.lit("").alias("path"))
+    return v.visible(rows, hide_categories=["5-LOW"], hide_tags=["F"], search="H").groupBy(F.col("l_orderkey").alias("path")).agg(F.count(F.lit(1)).alias("units"))
+
+
+def FLAGSHIP(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of repeated changes."""
+    return a1_build_groups(spark, sf)
