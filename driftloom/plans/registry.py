@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..operators import diff, history, inspect, moves
 from ..operators import grouping as g
 from ..operators import joins as j
 from ..operators import risk as rk
 from ..operators import views as v
+from ..sources import captured
+from ..sources.synthetic import change_sets
+from ..streaming import review_state
+from .engine import analyze
 
 QUERIES, SQL = {}, {}
 
@@ -383,6 +388,113 @@ def q_visible_units(spark, sf):
     return v.visible(rows, hide_categories=["5-LOW"], hide_tags=["F"], search="H").groupBy(F.col("l_orderkey").alias("path")).agg(F.count(F.lit(1)).alias("units"))
 
 
+def report(spark, sf):
+    """The engine over change sets made from the part table."""
+    return analyze(change_sets(spark, sf), min_count=3)
+
+
+@query()
+def e1_groups(spark, sf):
+    return report(spark, sf).groups.select("change_set_id", "group_id", "kind", "label", "count", F.size("files").alias("files"), "mechanical", "place")
+
+
+@query()
+def e2_stats(spark, sf):
+    return report(spark, sf).stats
+
+
+@query()
+def e3_files(spark, sf):
+    return report(spark, sf).files
+
+
+@query()
+def e4_warnings(spark, sf):
+    return report(spark, sf).warnings.select("change_set_id", "kind", "message", "group_id", "total")
+
+
+@query("""SELECT 'change-' || (p_size % 50) AS change_set_id, CASE WHEN p_partkey % 5 = 0 THEN 'tests/' ELSE 'src/' END || 'mod_' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.ts' ELSE '.py' END AS path,
+CASE WHEN p_partkey % 5 = 0 THEN 'tests' ELSE 'source' END AS category FROM part""")
+def e5_file_categories(spark, sf):
+    rows = change_sets(spark, sf)
+    return rows.select("change_set_id", "path", fn.categorize(F.col("path"), fn.language(F.col("path")).isNotNull()).alias("category"))
+
+
+@query()
+def e6_hunks(spark, sf):
+    return diff.hunks(diff.file_diffs(change_sets(spark, sf))).select("change_set_id", "path", "hunk_id", "old_start", "new_start", F.size("lines").alias("lines"), F.size("unit_ids").alias("units"), "fingerprint")
+
+
+@query()
+def e7_moves(spark, sf):
+    return moves.moves(diff.units(diff.file_diffs(change_sets(spark, sf)))).drop("key")
+
+
+@query()
+def e8_issues(spark, sf):
+    return inspect.issues(change_sets(spark, sf).filter("status <> 'D'").select("path", F.col("new_text").alias("text")))
+
+
+@query()
+def e9_folds(spark, sf):
+    return inspect.folds(change_sets(spark, sf).filter("status <> 'D'").select("path", F.col("new_text").alias("text")))
+
+
+@query("SELECT event_id::VARCHAR AS path, regexp_extract(props, '\"(\\w+)\"', 1) AS key, regexp_extract(props, ':\\s*(\\d+)', 1) AS value FROM events")
+def p14_json_members(spark, sf):
+    return inspect.json_members(read(spark, sf, "events").select(F.col("event_id").cast("string").alias("path"), F.col("props").alias("text"))).select("path", "key", "value")
+
+
+@query()
+def d13_line_diff(spark, sf):
+    """Lines that come and go between consecutive turns."""
+    rows = turns(spark, sf).select(F.col("conv_id").cast("string").alias("change_set_id"), F.concat_ws("/", "conv_id", "turn").alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit("M").alias("status"), F.col("old").alias("old_text"), F.col("new").alias("new_text"))
+    return diff.file_diffs(rows).select("change_set_id", "path", "additions", "deletions")
+
+
+@query()
+def t1_review_deltas(spark, sf):
+    """Replays events as analyses (records) and marks of review identities."""
+    ev = read(spark, sf, "events", "event_id", "user_id", "event_type")
+    prints = F.transform(F.sequence(F.lit(0), (F.col("event_id") % 4).cast("int")), lambda k: F.struct((F.col("event_id") * 7 + k).cast("string").alias("fingerprint"), F.concat(F.lit("f"), k.cast("string")).alias("path")))
+    mark = F.col("event_type") == "click"
+    own = F.array((F.col("event_id") * 7 - 7).cast("string"))
+    none = F.array().cast("array<string>")
+    rows = ev.select(F.col("user_id").cast("string").alias("identity"), F.when(mark, "mark").otherwise("record").alias("kind"), (F.col("event_id") % 11).cast("string").alias("head"), prints.alias("prints"), F.when(mark, own).otherwise(none).alias("add"), none.alias("remove"), F.col("event_id").alias("seq"))
+    out = review_state.replay(rows)
+    return out.select("identity", "seq", "prev_head", F.size("new").alias("new"), F.size("changed").alias("changed"), F.size("marks").alias("marks"))
+
+
+@query("SELECT 'pr:' || o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'worktree:' || o_orderpriority FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT 'refs:' || o_orderpriority || ':' || o_orderstatus FROM orders WHERE o_orderkey % 3 = 2")
+def s5_identity(spark, sf):
+    o, k = read(spark, sf, "orders"), F.col("o_orderkey")
+    return o.select(captured.resolve(F.col("o_orderpriority"), F.when(k % 3 == 2, F.col("o_orderstatus")), F.when(k % 3 == 0, k)).alias("id"))
+
+
+@query("SELECT doc_id::VARCHAR AS path, CAST(i AS INT) AS line, text FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS text FROM documents) WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])License([^A-Za-z0-9_]|$)')")
+def s10_grep_lines(spark, sf):
+    return captured.grep_lines(read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), "License")
+
+
+@query("SELECT o_orderkey, CAST(regexp_extract(t, '([0-9]+) file', 1) AS INT) AS files, CAST(coalesce(nullif(regexp_extract(t, '([0-9]+) insertion', 1), ''), '0') AS INT) AS insertions, 0 AS deletions FROM (SELECT o_orderkey, ' ' || (o_orderkey % 9) || ' files changed' || CASE WHEN o_orderkey % 2 = 0 THEN ', ' || (o_custkey % 50) || ' insertions(+)' ELSE '' END AS t FROM orders)")
+def s16_shortstat(spark, sf):
+    k = F.col("o_orderkey")
+    t = F.concat(F.lit(" "), (k % 9).cast("string"), F.lit(" files changed"), F.when(k % 2 == 0, F.concat(F.lit(", "), (F.col("o_custkey") % 50).cast("string"), F.lit(" insertions(+)"))).otherwise(""))
+    return read(spark, sf, "orders").select("o_orderkey", captured.shortstat(t).alias("s")).select("o_orderkey", "s.*")
+
+
+@query("SELECT l_suppkey AS file, l_orderkey * 10 + l_linenumber AS line, l_partkey AS commit, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY f) - 1 AS commit_no FROM (SELECT *, min(l_orderkey * 10 + l_linenumber) OVER (PARTITION BY l_suppkey, l_partkey) AS f FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, min(l_partkey) OVER (PARTITION BY l_suppkey, l_orderkey, l_linenumber) AS l_partkey FROM lineitem))")
+def h4_blame_index(spark, sf):
+    rows = read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line")).agg(F.min("l_partkey").alias("commit"))
+    return history.blame_index(rows, ["file"]).select("file", "line", "commit", F.col("commit_no").cast("long").alias("commit_no"))
+
+
+@query("WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k, count(*) OVER (PARTITION BY o_custkey) > 5 AS more FROM orders) SELECT o_custkey, o_orderkey, more FROM n WHERE k <= 5")
+def h1_history_page(spark, sf):
+    rows = read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.negative("o_orderkey").alias("ord"))
+    return history.more_than(rows, ["o_custkey"], 5).drop("ord")
+
+
 def FLAGSHIP(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups of repeated changes."""
-    return a1_build_groups(spark, sf)
+    """Which repeated edits do the change sets hold: the engine's groups."""
+    return e1_groups(spark, sf)
