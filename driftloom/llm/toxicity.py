@@ -2,8 +2,9 @@
 
 Each word enters as its hashed word embedding and the mean of its hashed character n-gram embeddings (3 and 5 bytes,
 with marks at its ends), beside two numbers learned from the sample: the word's log odds and the highest log odds of its
-n-grams. Windows of `T` words overlap; each is read in both directions, states are pooled by learned attention,
-and a document's score is that of its worst window. Every window of every text is scored.
+n-grams. Windows of `T` words overlap; each is read in both directions, states are pooled by learned attention.
+Every window of every text is scored, and a document's score combines its worst three windows and how many are suspect
+by a logistic regression that is fitted on a part of the sample that the network hasn't seen.
 
 A document's label says only that some window is toxic, so training repeats: choose each document's most toxic window
 by the present model (by the log odds at first), then take Adam steps on those. It takes a bounded sample: at most
@@ -84,6 +85,7 @@ class Net:
         self.p |= {"A": small(2 * HIDDEN, HIDDEN), "a": small(HIDDEN, 1), "o": small(2 * HIDDEN, 1), "bias": np.zeros(1, f32)}
         self.word_odds, self.char_odds = np.zeros(WORD_SPACE, f32), np.zeros(CHAR_SPACE, f32)
         self.base = 0.5
+        self.combine = np.array([1.0, 0, 0, 0, 0, 0])  # see Reader.windows
 
     def vectors(self, features: tuple) -> np.ndarray:
         word, grams, begin = features
@@ -180,19 +182,46 @@ class Reader(dict):
             self.pending = []
         return out
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """The highest window score of each text."""
+    def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each text: its three highest window logits (a missing one is the lowest there is), the logs of the
+        sum of all windows' chances and of one more than the number of suspect ones, 1.
+        Also which texts have no words."""
         docs = self.numbers(texts)
         starts = [(d, s) for d, ids in enumerate(docs) for s in window_starts(len(ids))]
-        best = np.full(len(docs), -np.inf)
+        of = np.array([d for d, _ in starts], np.int64)
         padded = [np.concatenate((ids, np.zeros(T, np.int64))) for ids in docs]
+        logit = np.zeros(len(starts))
         for at in range(0, len(starts), BLOCK):
-            part = starts[at : at + BLOCK]
-            ids = np.stack([padded[d][s : s + T] for d, s in part])
-            logit = self.net.run(self.rows[0][ids], self.rows[1][ids], ids > 0)
-            np.maximum.at(best, [d for d, _ in part], logit)
-        empty = np.array([len(d) == 0 for d in docs], bool)
-        return np.where(empty, 0.0 if self.net.base < 0.5 else self.net.base, sigmoid(best))
+            ids = np.stack([padded[d][s : s + T] for d, s in starts[at : at + BLOCK]])
+            logit[at : at + BLOCK] = self.net.run(self.rows[0][ids], self.rows[1][ids], ids > 0)
+        out = np.ones((len(docs), 6))
+        n = np.bincount(of, minlength=len(docs))
+        order = np.lexsort((-logit, of))
+        first = np.cumsum(n) - n
+        for k in range(3):
+            out[:, k] = logit[order[first + np.minimum(k, n - 1)]]
+        chance = sigmoid(logit)
+        out[:, 3], out[:, 4] = np.log(1e-3 + np.bincount(of, chance, len(docs))), np.log1p(np.bincount(of, chance > 0.2, len(docs)))
+        return out, np.array([len(d) == 0 for d in docs], bool)
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        if not texts:
+            return np.zeros(0)
+        x, empty = self.windows(texts)
+        return np.where(empty, 0.0 if self.net.base < 0.5 else self.net.base, sigmoid(x @ self.net.combine))
+
+
+def fit_combination(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by Newton steps, drawn towards the worst window's logit alone."""
+    prior = np.array([1.0, 0, 0, 0, 0, 0])
+    w, pull = prior.copy(), ridge * np.diag([1.0, 1, 1, 1, 1, 0.01])
+    for _ in range(25):
+        p = sigmoid(x @ w)
+        grad = x.T @ (p - y) + pull @ (w - prior)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + pull + 1e-6 * np.eye(6)
+        step = np.linalg.solve(hess, grad)
+        w = w - step * min(1.0, 2.0 / (np.abs(step).max() + 1e-9))
+    return w
 
 
 def learn_odds(net: Net, features: tuple, docs: list[np.ndarray], y: np.ndarray) -> None:
@@ -208,6 +237,22 @@ def learn_odds(net: Net, features: tuple, docs: list[np.ndarray], y: np.ndarray)
         setattr(net, name, (np.clip(odds, -2, 5) * (n.sum(0) / (n.sum(0) + 5)) / 2).astype(f32))
 
 
+def fit_network(texts: list[bytes], y: np.ndarray, spare: int = 5) -> Net:
+    """The network from all but every spare-th text of either class, and the combination of windows from those."""
+    place = np.zeros(len(y), np.int64)
+    for label in (0, 1):
+        place[y == label] = np.arange((y == label).sum())
+    seen = place % spare != 0
+    if min(((y == label) & ~seen).sum() for label in (0, 1)) < 8:
+        return train(texts, y)
+    net = train([t for t, s in zip(texts, seen, strict=True) if s], y[seen])
+    net.base = float((y.sum() + 0.5) / (len(y) + 1))
+    reader, rest = Reader(net), [t for t, s in zip(texts, seen, strict=True) if not s]
+    x = np.concatenate([reader.windows(rest[k : k + 128])[0] for k in range(0, len(rest), 128)])
+    net.combine = fit_combination(x, y[~seen])
+    return net
+
+
 def train(texts: list[bytes], y: np.ndarray, epochs: int = 9, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Net:
     """One class alone, or no texts, gives a network that scores every text by the smoothed share of label 1."""
     net = Net(seed)
@@ -292,7 +337,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, s
     chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, y int"))  # at most 4 * sample_rows ids
     sample = rows.filter(F.octet_length("text") <= sample_bytes).join(chosen, "doc_id").select("doc_id", "text", "y").collect()
     sample.sort(key=lambda r: (r.doc_id, r.text, r.y))
-    net = spark.sparkContext.broadcast(train([r.text.encode("utf-8", "replace") for r in sample], np.array([r.y for r in sample], f32)))
+    net = spark.sparkContext.broadcast(fit_network([r.text.encode("utf-8", "replace") for r in sample], np.array([r.y for r in sample], f32)))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
