@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import diff, history, inspect, moves
+from ..operators import concepts, diff, history, inspect, moves, xref
 from ..operators import grouping as g
 from ..operators import joins as j
 from ..operators import risk as rk
 from ..operators import views as v
-from ..sources import captured
+from ..sources import captured, export
 from ..sources.synthetic import change_sets
 from ..streaming import review_state
 from .engine import analyze
@@ -495,6 +495,127 @@ def h1_history_page(spark, sf):
     return history.more_than(rows, ["o_custkey"], 5).drop("ord")
 
 
+@query("""WITH p AS (SELECT DISTINCT l_suppkey AS code, l_partkey AS path, l_returnflag AS sev FROM lineitem), r AS (SELECT *, row_number() OVER (ORDER BY CASE sev WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, code, path) AS place FROM p)
+SELECT code, path, sev, place FROM r WHERE place <= 200""")
+def o8_listed_checks(spark, sf):
+    rows = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("code"), F.col("l_partkey").alias("path"), F.col("l_returnflag").alias("sev")).distinct()
+    rank = F.when(F.col("sev") == "R", 0).when(F.col("sev") == "A", 1).otherwise(2)
+    top = rows.orderBy(rank, "code", "path").limit(200)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(rank, "code", "path")).cast("long"))
+
+
+@query("SELECT l_suppkey AS code, count(*) AS n FROM lineitem GROUP BY 1")
+def a14_counts_by_code(spark, sf):
+    return read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey AS path, count(DISTINCT l_linenumber) AS lines, min(l_linenumber) AS first, max(l_linenumber) AS last FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1")
+def a16_changed_lines(spark, sf):
+    rows = read(spark, sf, "lineitem").filter("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("path")).agg(F.collect_set("l_linenumber").alias("s"))
+    return rows.select("path", F.size("s").cast("long").alias("lines"), F.array_min("s").alias("first"), F.array_max("s").alias("last"))
+
+
+@query(f"WITH {GRP}, sure AS (SELECT DISTINCT cs, key FROM gm WHERE units % 5 >= 3) SELECT cs, count(DISTINCT unit) AS verified_units FROM sig JOIN sure USING (cs, key) GROUP BY cs")
+def a18_verified_units(spark, sf):
+    sure = groups_of(spark, sf).filter("units % 5 >= 3").select("cs", "key")
+    return signatures(spark, sf).join(sure, ["cs", "key"], "left_semi").groupBy("cs").agg(F.countDistinct("unit").alias("verified_units"))
+
+
+@query(f"WITH {GRP}, f AS (SELECT * FROM ex WHERE path <> '5-LOW') SELECT cs, count(*) AS units, count(*) FILTER (explained) AS explained_units, count(*) FILTER (NOT explained) AS residual_units, CAST(round_even(100.0 * count(*) FILTER (explained) / count(*), 0) AS INT) AS collapsed_pct FROM f GROUP BY cs")
+def a19_filtered_stats(spark, sf):
+    return g.stats(v.visible(units_of(spark, sf).withColumn("category", F.col("path")), hide_categories=["5-LOW"]), ["cs"])
+
+
+@query(f"WITH {GRP} SELECT path, count(DISTINCT hunk) AS hunks, count(DISTINCT CASE WHEN NOT explained THEN hunk END) AS open_hunks FROM ex GROUP BY path")
+def a20_explorer(spark, sf):
+    return units_of(spark, sf).groupBy("path").agg(F.countDistinct("hunk").alias("hunks"), F.countDistinct(F.when(~F.col("explained"), F.col("hunk"))).alias("open_hunks"))
+
+
+@query("SELECT o_orderkey % 100 AS stem, o_orderpriority AS path, CAST(round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 0) AS INT) AS heat FROM orders GROUP BY 1, 2")
+def a22_concept_heat(spark, sf):
+    o = read(spark, sf, "orders").select(F.lit("c").alias("change_set_id"), (F.col("o_orderkey") % 100).alias("stem"), F.col("o_orderpriority").alias("path"), (F.col("o_orderstatus") == "F").cast("int").alias("concept_lines"), (F.col("o_orderstatus") != "F").cast("int").alias("collateral_lines"))
+    return concepts.heat(o).drop("change_set_id")
+
+
+@query("SELECT DISTINCT l_orderkey AS path, l_linenumber AS line, first_value(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS part FROM lineitem")
+def w9_dedup_locations(spark, sf):
+    rows = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), "l_suppkey")
+    return v.first_by(rows, ["path", "line"], ["part", "l_suppkey"]).drop("l_suppkey")
+
+
+@query("SELECT o_custkey AS id, o_orderkey AS at, 'comment' AS what FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderkey, 'review' FROM orders WHERE o_orderstatus <> 'F'")
+def u10_timeline(spark, sf):
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("at"), "o_orderstatus")
+    side = lambda cond, what: o.filter(cond).select("id", "at", F.lit(what).alias("what"))
+    return side("o_orderstatus = 'F'", "comment").unionByName(side("o_orderstatus <> 'F'", "review")).orderBy("at")
+
+
+@query("WITH s AS (SELECT o_custkey, list_sort(list_distinct(list(o_orderpriority))) AS a FROM orders GROUP BY 1) SELECT o_custkey, array_to_string(list_filter(a, lambda x: x <> '5-LOW'), ',') AS dropped, len(list_filter(a, lambda x: x NOT IN ('1-URGENT', '2-HIGH'))) = 0 AS verifiable FROM s")
+def u6_subset(spark, sf):
+    s = read(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("a"))
+    lit = lambda *x: F.array(*map(F.lit, x))
+    return s.select("o_custkey", F.array_join(F.array_except("a", lit("5-LOW")), ",").alias("dropped"), (F.size(F.array_except("a", lit("1-URGENT", "2-HIGH"))) == 0).alias("verifiable"))
+
+
+@query("SELECT DISTINCT l_orderkey AS sha, l_partkey AS path FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10)")
+def s7_point_lookups(spark, sf):
+    wanted = read(spark, sf, "part").filter("p_size < 10").select(F.col("p_partkey").alias("path"))
+    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("path")).join(wanted, "path", "left_semi").distinct().select("sha", "path")
+
+
+@query("SELECT o_custkey AS repo, CASE WHEN bool_or(o_orderpriority = '2-HIGH') THEN 'main' WHEN bool_or(o_orderpriority = '1-URGENT') THEN 'master' ELSE arg_max('b' || o_orderpriority, strftime(o_orderdate, '%Y%m%d%H%M%S')) END AS base FROM (SELECT o_custkey, o_orderpriority, max(o_orderdate) AS o_orderdate FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW') GROUP BY 1, 2) GROUP BY 1")
+def s6_default_base(spark, sf):
+    rows = read(spark, sf, "orders").filter("o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW')")
+    name = F.when(F.col("o_orderpriority") == "2-HIGH", "main").when(F.col("o_orderpriority") == "1-URGENT", "master").otherwise(F.concat(F.lit("b"), F.col("o_orderpriority")))
+    return captured.default_base(rows.select(F.col("o_custkey").alias("repo"), name.alias("name"), F.col("o_orderdate").cast("timestamp").alias("date")), ["repo"])
+
+
+@query("SELECT c_custkey AS id, regexp_extract('git@host.org:' || c_mktsegment || '/' || replace(c_name, '#', '') || '.git', '[:/]([^/:]+/[^/]+?)(\\.git)?/?$', 1) AS slug FROM customer")
+def f_repository_slug(spark, sf):
+    url = F.concat(F.lit("git@host.org:"), F.col("c_mktsegment"), F.lit("/"), F.replace(F.col("c_name"), F.lit("#"), F.lit("")), F.lit(".git"))
+    return read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), fn.repository_slug(url).alias("slug"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_name, '[A-Z]+|[A-Z]?[a-z]+|[0-9]+'), lambda w: regexp_replace(lower(w), '^(.{3,}[^s])s$', '\\1')), ' ') AS words FROM (SELECT p_partkey, replace(replace(p_name, '#', ' '), '_', ' ') AS p_name FROM part)")
+def f_identifier_words(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", F.array_join(fn.identifier_words(F.col("p_name")), " ").alias("words"))
+
+
+@query()
+def l1_concepts(spark, sf):
+    return report(spark, sf).concepts("user")
+
+
+@query()
+def l4_concept_overlay(spark, sf):
+    got = report(spark, sf)
+    return concepts.overlay(got.units, got.concepts("user"))
+
+
+@query()
+def x1_dangling(spark, sf):
+    rows = change_sets(spark, sf)
+    head = rows.select("change_set_id", "path", F.col("old_text").alias("text")).filter("path LIKE '%9.ts'")
+    got = report(spark, sf)
+    return xref.listed(xref.dangling(got.units, head, got.concepts("user")))
+
+
+@query()
+def d12_file_rows(spark, sf):
+    rows = change_sets(spark, sf)
+    return diff.file_rows(rows, diff.units(diff.file_diffs(rows)))
+
+
+@query()
+def k1_report_json(spark, sf):
+    return export.report_json(report(spark, sf)).select("change_set_id", F.length("json").alias("chars"))
+
+
+@query()
+def k2_markdown(spark, sf):
+    return export.markdown_summary(report(spark, sf))
+
+
 def FLAGSHIP(spark: SparkSession, sf: str) -> DataFrame:
     """Which repeated edits do the change sets hold: the engine's groups."""
     return e1_groups(spark, sf)
