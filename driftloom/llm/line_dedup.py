@@ -224,7 +224,8 @@ def _drops_of(docs: DataFrame, min_chars: int, keys_per_shard: int) -> DataFrame
 
 
 def _cut(rows: DataFrame, drops: DataFrame, schema, text_column: str) -> DataFrame:
-    """rows with text_column, n_lines and n_dropped (as far as the schema names them) after the drops."""
+    """rows with text_column after the drops; n_lines and n_dropped too where rows have no columns of these names but the
+    schema does."""
     names = {"doc_id": "_d_id", "tag": "_d_tag", "drops": "_drops"}
     tag = F.xxhash64(F.col("text"))
     joined = rows.withColumn("_tag", tag).join(drops.withColumnsRenamed(names), F.col("doc_id").eqNullSafe(F.col("_d_id")) & (F.col("_tag") == F.col("_d_tag")), "left")
@@ -238,7 +239,7 @@ def _cut(rows: DataFrame, drops: DataFrame, schema, text_column: str) -> DataFra
                 n_lines.append(len(lines))
                 n_dropped.append(len(drop))
             made = {text_column: pa.array(texts, pa.binary()).cast(pa.string(), safe=False), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
-            columns = {n: batch.column(n) for n in own if n != "text"} | {n: made[n] for n in made if n in wanted}
+            columns = made | {n: batch.column(n) for n in own if n != text_column}
             yield pa.RecordBatch.from_arrays([columns[n] for n in wanted], names=wanted)
 
     own = rows.columns

@@ -92,3 +92,19 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert set(kept[3]) == good - {200, 201}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == good - {200, 201} and all(r.n_tokens > 0 for r in out)
+
+
+def test_pipeline_holds_edges(spark, tmp_path):
+    docs = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, score string, p string, tag string"
+    rows = [(None, None), (1, None), (2, ""), (3, "one"), (3, "one"), (None, "a line of text\nmore"), (4, "a line of text\nother"), (5, "word " * 100_000), (6, "\n\n"), (7, None)]
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, ITEM), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, part in (("some", rows), ("none", [])):
+        df = spark.createDataFrame([(i, t, None, None, None, "clash", "clash", "clash", "clash") for i, t in part], docs)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            df = stage(spark, df, str(tmp_path))
+            assert df.columns == [c.split()[0] for c in docs.split(", ")]
+            got = df.collect()
+            assert all(r.n_lines == r.score == r.p == r.tag == "clash" for r in got)
+        out = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).collect()
+        assert len(out) == len(got) == len(part)
