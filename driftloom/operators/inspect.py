@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..lang import jsonlang
 from ..lang.inspect import find_folds, find_issues
+from ..sources.scratch import spread
 
 
 def _rows(texts: DataFrame, of, schema: str) -> DataFrame:
@@ -19,7 +20,7 @@ def _rows(texts: DataFrame, of, schema: str) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame([(p, *row) for p, t in zip(frame["path"], frame["text"], strict=True) for row in of(p or "", t or "")], columns=names)
 
-    return texts.select("path", "text").mapInPandas(run, f"path string, {schema}")
+    return spread(texts.select("path", "text")).mapInPandas(run, f"path string, {schema}")
 
 
 def folds(texts: DataFrame) -> DataFrame:

@@ -29,3 +29,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, most_bytes_a_core: int = 64 << 20) -> DataFrame:
+    """Over all cores, for work that is heavy for its bytes. Only small inputs move: one that is larger than most_bytes_a_core for each core
+    already comes in as many partitions, and stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(4 * cores) if size < cores * most_bytes_a_core else df
