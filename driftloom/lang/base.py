@@ -78,10 +78,18 @@ class Analysis:
     sites: list[Site] = field(default_factory=list)
     imports: list[Import] = field(default_factory=list)
 
+    _lines: tuple[list[int], list[int]] | None = None
+
     @classmethod
     def of(cls, text: str) -> Analysis:
         return cls(lines_of(text))
 
+    def token_lines(self) -> tuple[list[int], list[int]]:
+        """First and last line of each token."""
+        if self._lines is None:
+            self._lines = [t.start[0] for t in self.tokens], [t.end[0] for t in self.tokens]
+        return self._lines
+
 
 @dataclass
 class Language:
