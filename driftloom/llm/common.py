@@ -1,15 +1,17 @@
-"""Helpers shared by the training-data operators: scratch tables, text keys, Arrow batches."""
+"""Helpers shared by the training-data operators: text keys, Arrow batches, bounded samples; scratch tables are the core's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise, scratch_dir
+
+__all__ = ["as_bytes", "ascii_lower", "bucket_of", "documents", "materialise", "scratch_dir", "share_by_hash", "slices", "table"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -18,29 +20,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where that is unset, as in tests, a local folder is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="driftloom-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again, which cuts its lineage: lost executors
-    cost no recomputation past this point. The files go when the application's file system closes."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/driftloom-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    df.write.parquet(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,3 +49,11 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
 def bucket_of(doc_id: Column, by: int) -> Column:
     """crc32 of the id as text, modulo `by`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by
+
+
+def share_by_hash(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About `rows` rows of df, or all where it has no more: those whose keys' hash is below a share. Every task picks its
+    own, so what reaches the driver is about `rows` rows in all, however many tasks there are. Rows with equal keys go
+    together: keys should be distinct."""
+    n = df.count()
+    return df if n <= rows else df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * rows / n))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bucket_of, documents, materialise, slices
+from .common import as_bytes, bucket_of, documents, materialise, share_by_hash, slices
 
 NAMES = ["log_bytes", "log_words", "word_bytes", "upper", "digits", "symbols", "bangs", "bars", "stops", "lines", "distinct", "top_word", "repeated_lines", "non_ascii", "odd_ends", "odd_lines", "worst_lines", "packed"]
 
@@ -181,9 +181,10 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 150, rate: f
 
 
 def train(feats: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 20_000, folds: int = 5) -> Additive:
-    """Fits on at most sample_rows labelled rows outside the held-out fold, the first by a hash of the id."""
+    """Fits on about sample_rows labelled rows at most, outside the held-out fold, picked by a hash of the id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL").filter(bucket_of(F.col("doc_id"), folds) != 0)
-    rows = feats.filter(F.col("doc_id").isNotNull()).join(known, "doc_id").select(F.xxhash64("doc_id").alias("o"), "doc_id", "x", "y").orderBy("o", "doc_id", "y").limit(sample_rows).collect()
+    labelled = feats.filter(F.col("doc_id").isNotNull()).join(known, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x"))
+    rows = sorted(share_by_hash(labelled, sample_rows, "doc_id", "y").collect(), key=lambda r: (r.doc_id, r.y))
     x = np.array([r.x for r in rows], np.float64).reshape(len(rows), len(NAMES))
     return fit(x, np.array([r.y for r in rows], np.float64))
 
@@ -193,7 +194,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
 
     Null texts are empty, and empty texts are scored as such. Labels that are null or belong to no document play no
     part; without labels of both classes every score is the smoothed share of label 1. Repeated rows of a document
-    each get their row, and repeated labels each count. held_out: crc32 of the id as text modulo `folds` is 0 (a null
+    each get their row; in fitting a document and label count once. held_out: crc32 of the id as text modulo `folds` is 0 (a null
     id counts as empty text)."""
     feats = materialise(featurise(docs), "quality")
     model = train(feats, labels, "quality", sample_rows, folds)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bucket_of, documents, slices
+from .common import as_bytes, bucket_of, documents, materialise, share_by_hash, slices
 
 T, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 32, 24, 8, 6, 8
 WORD_SPACE, CHAR_SPACE, CACHE = 1 << 15, 1 << 17, 150_000
@@ -333,9 +333,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, s
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter("y IN (0, 1) AND doc_id IS NOT NULL").filter(bucket_of(F.col("doc_id"), folds) != 0)
     # ids first, so that only the sample's texts move
     fits = rows.filter(F.octet_length("text") <= sample_bytes).select("doc_id").filter("doc_id IS NOT NULL").join(known, "doc_id").distinct()
-    picked = [r for y in (0, 1) for r in fits.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows * (1 if y else 3)).collect()]
-    chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, y int"))  # at most 4 * sample_rows ids
-    sample = rows.filter(F.octet_length("text") <= sample_bytes).join(chosen, "doc_id").select("doc_id", "text", "y").collect()
+    fits = materialise(fits, "labelled")
+    picked = [r for y in (0, 1) for r in share_by_hash(fits.filter(F.col("y") == y), sample_rows * (1 if y else 3), "doc_id").collect()]
+    chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, y int"))  # about 4 * sample_rows ids at most
+    # a document whose rows repeat is one row of the sample
+    sample = rows.filter(F.octet_length("text") <= sample_bytes).join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     sample.sort(key=lambda r: (r.doc_id, r.text, r.y))
     net = spark.sparkContext.broadcast(fit_network([r.text.encode("utf-8", "replace") for r in sample], np.array([r.y for r in sample], f32)))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
