@@ -3,7 +3,9 @@
 A text becomes a sequence of canonical tokens: words without outer punctuation, lower-cased, where a number is <num>, a
 unit behind a number <unit>, and a capitalised word inside a sentence <name>; the values are kept as slots. Windows of
 `window` tokens are hashed on canonical tokens, so a question asked again with other numbers, names or units has the
-same windows. They are hash-joined with the benchmark's. Windows of one document that lie on one alignment with one
+same windows. Where a sentence begins isn't known of a text that stands behind other words, so each window is read three
+ways, and each way is matched on its own: capitalised words at a sentence's begin as plain words, as <name> like all
+others, and all tokens as plain words, values included. They are hash-joined with the benchmark's. Windows of one document that lie on one alignment with one
 item are then put together: their slots have to map each of the item's values to one value of the document; where
 they don't, only windows with the item's own values count. A pair is reported where enough of the item is covered.
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -59,24 +62,28 @@ class Words(dict):
         return value
 
 
-def canonical(text: bytes, words: Words) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words that aren't only punctuation, the hash of each one's canonical token, and whether it is a slot.
+def canonical(text: bytes, words: Words) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+    """Words that aren't only punctuation, and for each reading the hash of each one's canonical token and whether it is
+    a slot. Readings: capitalised words are names but where a sentence begins; all are; nothing is a slot.
     A line's end counts as a sentence's."""
     seen = text.replace(b"\n", b".\n").split()
     value = np.fromiter(map(words.__getitem__, seen), np.uint64, len(seen))
     kind, full = value & np.uint64(3), (value & np.uint64(EMPTY)) == 0
     begins = np.concatenate(([True], (value[:-1] & np.uint64(SENTENCE)) != 0)) if len(seen) else np.zeros(0, bool)
     behind = np.concatenate(([False], kind[:-1] == NUM)) if len(seen) else np.zeros(0, bool)
-    out = value & ~np.uint64(15)
+    plain = value & ~np.uint64(15)
+    out = plain.copy()
     slot = kind == NUM
     out[slot] = TYPED[NUM]
-    for code, mask in ((UNIT, (kind == UNIT) & behind), (CAPITAL, (kind == CAPITAL) & ~begins)):
-        out[mask] = TYPED[code]
-        slot = slot | mask
+    unit, capital = (kind == UNIT) & behind, kind == CAPITAL
+    out[unit] = TYPED[UNIT]
+    slot = slot | unit
+    readings = [(np.where(names, np.uint64(TYPED[CAPITAL]), out), slot | names) for names in (capital & ~begins, capital)]
+    readings.append((plain, np.zeros(len(seen), bool)))
     if not full.all():
         seen = [w for w, ok in zip(seen, full.tolist(), strict=True) if ok]
-        out, slot = out[full], slot[full]
-    return seen, out, slot
+        readings = [(tokens[full], slots[full]) for tokens, slots in readings]
+    return seen, readings
 
 
 def window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -115,8 +122,8 @@ class Known:
         return at[self.hashes[place] == h[at]]
 
 
-KIND = "id long, pos int, width int, h long, slots array<string>, n_tokens int"
-SCHEMA = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("width", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.string())), ("n_tokens", pa.int32())])
+KIND = "id long, pos int, width int, reading int, h long, slots array<string>, n_tokens int"
+SCHEMA = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("width", pa.int32()), ("reading", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.string())), ("n_tokens", pa.int32())])
 
 
 def windows(rows: DataFrame, widths: list[int] | None, known: np.ndarray | None, least: int = 5) -> DataFrame:
@@ -128,9 +135,9 @@ def windows(rows: DataFrame, widths: list[int] | None, known: np.ndarray | None,
         for batch in slices(batches):
             out: list[tuple] = []
             for doc, text in zip(batch.column("id").to_pylist(), as_bytes(batch, "text"), strict=True):
-                seen, tokens, slot = canonical(text, words)
-                own = widths if widths is not None else [min(WINDOW, len(tokens))] if len(tokens) >= least else []
-                for width in own:
+                seen, readings = canonical(text, words)
+                own = widths if widths is not None else [min(WINDOW, len(seen))] if len(seen) >= least else []
+                for width, (reading, (tokens, slot)) in product(own, enumerate(readings)):
                     if width > len(tokens):
                         continue
                     h = window_hashes(tokens, width)
@@ -140,7 +147,7 @@ def windows(rows: DataFrame, widths: list[int] | None, known: np.ndarray | None,
                     at = at[literal_enough(slot, width)[at]]
                     for p, x in zip(at.tolist(), h[at].astype(np.int64).tolist(), strict=True):
                         slots = [seen[p + i].strip(EDGE).lower().decode("utf-8", "replace") for i in np.flatnonzero(slot[p : p + width]).tolist()]
-                        out.append((doc, p, width, x, slots, len(tokens)))
+                        out.append((doc, p, width, reading, x, slots, len(tokens)))
                         if len(out) >= 20_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
                             out = []
@@ -167,12 +174,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, filt
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("id IS NOT NULL")
     hits = windows(rows, widths, known).drop("n_tokens").withColumnsRenamed({"id": "doc_id", "pos": "doc_pos", "slots": "doc_slots"})
     side = items.withColumnsRenamed({"id": "item_id", "pos": "item_pos", "slots": "item_slots", "n_tokens": "item_tokens"})
-    pairs = hits.join(F.broadcast(side) if n <= filter_bound // 64 else side, ["h", "width"]).select("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift"), "item_pos", "width", "item_tokens", F.arrays_zip(F.col("item_slots").alias("a"), F.col("doc_slots").alias("b")).alias("slots"))
+    pairs = hits.join(F.broadcast(side) if n <= filter_bound // 64 else side, ["h", "width", "reading"]).select("doc_id", "item_id", "reading", (F.col("doc_pos") - F.col("item_pos")).alias("shift"), "item_pos", "width", "item_tokens", F.arrays_zip(F.col("item_slots").alias("a"), F.col("doc_slots").alias("b")).alias("slots"))
     same = F.forall("slots", lambda s: s["a"].eqNullSafe(s["b"]))
     place = F.struct("item_pos", "width")
-    lined = pairs.groupBy("doc_id", "item_id", "item_tokens", "shift").agg(F.collect_set(place).alias("every"), F.collect_set(F.when(same, place)).alias("literal"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    lined = pairs.groupBy("doc_id", "item_id", "item_tokens", "shift", "reading").agg(F.collect_set(place).alias("every"), F.collect_set(F.when(same, place)).alias("literal"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     sure = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"])))
     tokens = lambda c: F.flatten(F.transform(c, lambda p: F.sequence(p["item_pos"], p["item_pos"] + p["width"] - 1)))
     kept = lined.withColumn("places", F.when(sure, F.col("every")).otherwise(F.col("literal"))).filter(F.size("places") > 0)
-    whole = kept.groupBy("doc_id", "item_id", "item_tokens").agg(F.sum(F.size("places")).cast("long").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list(tokens("places"))))).cast("long").alias("covered"))
+    each = kept.groupBy("doc_id", "item_id", "item_tokens", "shift").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    whole = each.groupBy("doc_id", "item_id", "item_tokens").agg(F.sum(F.size("places")).cast("long").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list(tokens("places"))))).cast("long").alias("covered"))
     return whole.filter(F.col("covered") >= F.least(F.lit(least), F.col("item_tokens"))).select("doc_id", "item_id", "n_windows", "covered", F.col("item_tokens").cast("long").alias("item_tokens"))

@@ -53,6 +53,17 @@ def test_leaks(spark, bound):
     assert got == {(10, 1), (11, 1), (12, 1), (17, 3), (18, 1), (19, 5)}
 
 
+def leaks(spark, bench, docs):
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.covered for r in decontaminate.contaminated(table(spark, docs), items).collect()}
+
+
+def test_leaks_behind_other_words(spark):
+    bench = [(1, "Farmers sell 12 boxes of ripe apples daily"), (2, "Every winter Mary counts 7 birds near the frozen lake at dawn"), (3, "Old ships rest there. Nobody visits them in March")]
+    docs = [(1, "we read that " + bench[0][1] + " as before"), (2, "we read that " + bench[1][1].replace("7", "9").replace("Mary", "Joan") + " as before"), (3, "so, Old ships rest there.\nNobody visits them\nin March"), (4, bench[0][1].replace("apples", "pears"))]
+    assert leaks(spark, bench, docs) == {(1, 1): 8, (2, 2): 12, (3, 3): 9}
+
+
 def test_leaks_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(table(spark, LEAKS), none).count() == 0
