@@ -1,6 +1,6 @@
 """Benchmark decontamination by template windows.
 
-A text becomes a sequence of canonical tokens: words without outer punctuation, lower-cased, where a number is <num>, a
+A text becomes a sequence of canonical tokens: words without outer punctuation, case folded over Unicode, where a number is <num>, a
 unit behind a number <unit>, and a capitalised word inside a sentence <name>; the values are kept as slots. Windows of
 `window` tokens are hashed on canonical tokens, so a question asked again with other numbers, names or units has the
 same windows. Where a sentence begins isn't known of a text that stands behind other words, so each window is read three
@@ -16,6 +16,7 @@ then send on only windows that hit; beyond that all windows go through the shuff
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import product
 
@@ -39,12 +40,17 @@ PLAIN, NUM, UNIT, CAPITAL, SENTENCE, EMPTY = 0, 1, 2, 3, 4, 8  # low bits of a w
 TYPED = {NUM: 0x9E3779B97F4A7C10, UNIT: 0xC2B2AE3D27D4EB50, CAPITAL: 0x165667B19E3779F0}
 
 
+def folded(word: bytes) -> tuple[str, bytes]:
+    """The word without outer punctuation, composed, and its folded form; bytes that aren't UTF-8 stay as they are."""
+    bare = unicodedata.normalize("NFC", word.strip(EDGE).decode("utf-8", "surrogateescape"))
+    return bare, unicodedata.normalize("NFC", bare.casefold()).encode("utf-8", "surrogateescape")
+
+
 class Words(dict):
     """Word as it stands -> hash of its plain form with its kind in the low bits. Emptied when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        bare = word.strip(EDGE)
-        low = bare.lower()
+        bare, low = folded(word)
         flags = SENTENCE if word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?", b":") else 0
         if not bare:
             value = flags | EMPTY
@@ -53,7 +59,7 @@ class Words(dict):
                 flags |= NUM
             elif low in UNITS:
                 flags |= UNIT
-            elif len(bare) > 1 and bare[:1].isupper() and bare[1:] == low[1:]:
+            elif len(bare) > 1 and (bare[0].isupper() or bare[0].istitle()) and bare[1:] == bare[1:].lower():
                 flags |= CAPITAL
             value = xxh3_64_intdigest(low) & ~15 | flags
         if len(self) >= CACHE:
@@ -146,7 +152,7 @@ def windows(rows: DataFrame, widths: list[int] | None, known: np.ndarray | None,
                         continue
                     at = at[literal_enough(slot, width)[at]]
                     for p, x in zip(at.tolist(), h[at].astype(np.int64).tolist(), strict=True):
-                        slots = [seen[p + i].strip(EDGE).lower().decode("utf-8", "replace") for i in np.flatnonzero(slot[p : p + width]).tolist()]
+                        slots = [folded(seen[p + i])[1].decode("utf-8", "replace") for i in np.flatnonzero(slot[p : p + width]).tolist()]
                         out.append((doc, p, width, reading, x, slots, len(tokens)))
                         if len(out) >= 20_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)

@@ -1,4 +1,5 @@
 import re
+import unicodedata
 
 import pytest
 
@@ -64,6 +65,13 @@ def test_leaks_behind_other_words(spark):
     assert leaks(spark, bench, docs) == {(1, 1): 8, (2, 2): 12, (3, 3): 9}
 
 
+def test_leaks_in_other_case(spark):
+    item = "El niño pequeño cayó del árbol más viejo y Ángela corrió hasta la señora del café de aquí en español"
+    bench = [(1, item), (2, "Die große Straße führt über die schöne Brücke für Fußgänger nach Süden")]
+    docs = [(1, "Antes: " + item.upper()), (2, bench[1][1].upper()), (3, unicodedata.normalize("NFD", item)), (4, item.replace("Ángela", "Óscar")), (5, item.upper()[:30])]
+    assert leaks(spark, bench, docs) == {(1, 1): 20, (2, 2): 12, (3, 1): 20, (4, 1): 20}
+
+
 def test_leaks_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(table(spark, LEAKS), none).count() == 0
