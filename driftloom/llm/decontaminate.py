@@ -30,6 +30,9 @@ from .common import as_bytes, materialise, slices
 
 WINDOW, LEAST, CACHE = 8, 13, 400_000
 EDGE = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
+#: Characters of scripts written without spaces (kana, Han, Thai, Lao, Myanmar, Khmer), and their punctuation, in UTF-8.
+UNSPACED = re.compile(rb"(?:\xe3[\x81-\xbf]|[\xe4-\xe9][\x80-\xbf]|\xe0[\xb8-\xbb]|\xe1(?:[\x80-\x82]|[\x9e\x9f])|\xef[\xa4-\xab])[\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
+MARKS = re.compile(rb"\xe3\x80[\x80-\x82\x88-\x91]|\xef\xbc[\x81-\x8f\x9a-\xa0]")
 NUMBER = re.compile(rb"[+-]?[$]?\d[\d.,:/%]*[a-z]{0,3}")
 
 #: Number words and unit words.
@@ -37,6 +40,7 @@ NUMBER_WORDS = frozenset(b"one two three four five six seven eight nine ten elev
 UNITS = frozenset(b"mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ounce ounces pound pounds ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees meter meters metre metres kilometer kilometers kilometre kilometres mph".split())
 
 PLAIN, NUM, UNIT, CAPITAL, SENTENCE, EMPTY = 0, 1, 2, 3, 4, 8  # low bits of a word's value
+PLAIN_READING = 2  # the place of the reading without slots
 TYPED = {NUM: 0x9E3779B97F4A7C10, UNIT: 0xC2B2AE3D27D4EB50, CAPITAL: 0x165667B19E3779F0}
 
 
@@ -71,7 +75,9 @@ class Words(dict):
 def canonical(text: bytes, words: Words) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
     """Words that aren't only punctuation, and for each reading the hash of each one's canonical token and whether it is
     a slot. Readings: capitalised words are names but where a sentence begins; all are; nothing is a slot.
-    A line's end counts as a sentence's."""
+    A line's end counts as a sentence's. Each character of a script without spaces is a word."""
+    if not text.isascii() and UNSPACED.search(text):
+        text = UNSPACED.sub(rb" \g<0> ", MARKS.sub(b" ", text))
     seen = text.replace(b"\n", b".\n").split()
     value = np.fromiter(map(words.__getitem__, seen), np.uint64, len(seen))
     kind, full = value & np.uint64(3), (value & np.uint64(EMPTY)) == 0
@@ -105,7 +111,7 @@ def window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
 
 
 def literal_enough(slot: np.ndarray, width: int) -> np.ndarray:
-    """Windows of which at least half the tokens are words, not slots."""
+    """Windows of which at least half the tokens are words, not slots; the reading without slots has all windows."""
     total = np.concatenate(([0], np.cumsum(~slot)))
     return 2 * (total[width:] - total[:-width]) >= width
 
@@ -134,7 +140,7 @@ SCHEMA = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("width", pa.int32(
 
 def windows(rows: DataFrame, widths: list[int] | None, known: np.ndarray | None, least: int = 5) -> DataFrame:
     """Windows of (id, text). widths None: each text has windows of WINDOW tokens, or all its tokens where it has
-    fewer, but at least `least`. known: only windows with these hashes."""
+    fewer; with slots only where these are at least `least`. known: only windows with these hashes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, table = Words(), Known(known) if known is not None else None
@@ -142,9 +148,9 @@ def windows(rows: DataFrame, widths: list[int] | None, known: np.ndarray | None,
             out: list[tuple] = []
             for doc, text in zip(batch.column("id").to_pylist(), as_bytes(batch, "text"), strict=True):
                 seen, readings = canonical(text, words)
-                own = widths if widths is not None else [min(WINDOW, len(seen))] if len(seen) >= least else []
+                own = widths if widths is not None else [min(WINDOW, len(seen))] if seen else []
                 for width, (reading, (tokens, slot)) in product(own, enumerate(readings)):
-                    if width > len(tokens):
+                    if width > len(tokens) or width < least and reading < PLAIN_READING:
                         continue
                     h = window_hashes(tokens, width)
                     at = table.find(h) if table is not None else np.arange(len(h))
@@ -167,7 +173,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, filt
     """Returns one row for each document and benchmark item that it holds: doc_id, item_id, n_windows, covered, item_tokens.
 
     covered is the number of the item's tokens that consistent windows cover; a pair is returned from
-    min(least, item_tokens) on. Items of fewer than five tokens can't be told from chance and match nothing. Null
+    min(least, item_tokens) on. Items of fewer than five tokens, and windows that are mostly slots, match with their
+    own values alone. Items without a token match nothing. Null
     texts and ids match nothing; rows that repeat an id are one document; repeated items are reported under their
     ids. An empty table on either side gives no rows."""
     bench = benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("id IS NOT NULL").distinct()

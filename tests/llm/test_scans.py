@@ -72,6 +72,12 @@ def test_leaks_in_other_case(spark):
     assert leaks(spark, bench, docs) == {(1, 1): 20, (2, 2): 12, (3, 1): 20, (4, 1): 20}
 
 
+def test_leaks_of_values_and_short_items(spark):
+    bench = [(1, "1 + 2 = 3, 4 + 5 = 9, 6 + 7 = 13, 8 + 9 = 17, 10 + 11 = 21"), (2, "Who wrote Faust?"), (3, "一個農夫在市場上賣了十二箱蘋果給瑪麗"), (4, "??"), (5, "is Paris nice Anna Otto Karl Emil Hugo Paul Fritz Max")]
+    docs = [(1, "we add " + bench[0][1] + " here"), (2, "they ask who wrote faust, again"), (3, "昨天,一個農夫在市場上賣了十二箱蘋果給瑪麗。後來"), (4, "who wrote it? Faust"), (5, "1 2 3 4 5 9 6 7"), (6, "so " + bench[4][1] + " then"), (7, "一個農夫在田裡")]
+    assert leaks(spark, bench, docs) == {(1, 1): 15, (2, 2): 3, (3, 3): 18, (6, 5): 11}
+
+
 def test_leaks_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(table(spark, LEAKS), none).count() == 0
