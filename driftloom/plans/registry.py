@@ -601,7 +601,7 @@ def l4_concept_overlay(spark, sf):
 @query()
 def x1_dangling(spark, sf):
     rows = change_sets(spark, sf)
-    head = rows.select("change_set_id", "path", F.col("old_text").alias("text")).filter("path LIKE '%9.ts'")
+    head = rows.filter("status <> 'D'").select("change_set_id", "path", F.col("new_text").alias("text"))
     got = report(spark, sf)
     return xref.listed(xref.dangling(got.units, head, got.concepts("user")))
 
