@@ -176,6 +176,14 @@ def j3_band_pairs(spark, sf):
     return j.band_pairs(le, ri, ["p_brand", "p_type"], "size").select("l_id", "r_id", "l_size", "r_size")
 
 
+@query()
+def j3_band_pairs_whole(spark, sf):
+    """All ordered pairs of part; j3_band_pairs has the id subsets of its SQL."""
+    p = read(spark, sf, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").alias("size"))
+    le, ri = p.withColumnRenamed("p_partkey", "l_id"), p.withColumnRenamed("p_partkey", "r_id").withColumnRenamed("size", "r_size")
+    return j.band_pairs(le, ri, ["p_brand", "p_type"], "size").filter("l_id <> r_id").select("l_id", "r_id", "l_size", "r_size")
+
+
 @query("SELECT l_partkey AS stream, count(*) AS n FROM lineitem GROUP BY 1")
 def j8_multiplicity(spark, sf):
     return j.multiplicity(read(spark, sf, "lineitem").select(F.col("l_partkey").alias("stream")), ["stream"])
