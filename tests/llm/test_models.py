@@ -2,8 +2,10 @@ import math
 import random
 import zlib
 from collections import Counter
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from driftloom.llm import quality, suffix_tree_lm, toxicity
 
@@ -67,37 +69,88 @@ def test_additive_tables_are_what_the_score_adds():
     assert (0, 1) in {(i, j) for i, j, *_ in model.pairs} and ((model.score(x) > 0.5) == y).mean() > 0.9  # the coarse bins blur the axes
 
 
-LM = [(i, t) for i, t in enumerate(["a b c a b c d", "A b c", "", None, "z", "é É", "a b c a b d", "new words here", "a\x1fb a b", "c b a " * 400] * 6)] + [(None, "a b q"), (3, "a b c a")]
+LM = [(i, t) for i, t in enumerate(["a b c a b c d", "A b c", "", None, "z", "é É", "a b c a b d", "new words here", "a\x1fb a b", "c b a " * 400, "p x y u " * 4, "q x y v " * 4, "m y w " * 8] * 6)] + [(None, "a b q"), (3, "a b c a")]
 
 
-def test_lm_base_equals_brute_force(spark):
-    got = suffix_tree_lm.score_corpus(table(spark, LM)).collect()
-    tokens = lambda t: (t or "").encode().lower().split() + [None]
-    c = Counter(w for i, t in LM if fold(i, 7) != 2 for w in tokens(t))
+def tokens(t):
+    return (t or "").encode().lower().split() + [None]
+
+
+def brute_tree(rows, least):
+    """The same model in dictionaries: log10 probability of a text, and of one token behind a context."""
+    texts = [tokens(t) for i, t in rows if fold(i, 7) != 2]
+    c = Counter(w for t in texts for w in t)
     n, v = sum(c.values()), len(c)
-    want = sorted((repr(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for i, t in LM)
-    assert sorted((repr(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-    assert all(r.train_tokens == n and r.held_out == (fold(r.doc_id, 7) == 2) and r.score < 0 for r in got)
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
-    # the same with words that only the join knows
-    rare = suffix_tree_lm.score_corpus(table(spark, LM), word_share=0.2, symbol_share=0.3).collect()
-    assert sorted((repr(r.doc_id), r.n_known, round(r.base_score, 6)) for r in rare) == sorted((i, k, b) for i, _, k, b in want)
-
-
-def test_lm_states_are_distributions(spark):
-    docs = table(spark, LM).select("doc_id", "text").filter("doc_id IS NOT NULL")
-    counts = suffix_tree_lm.unigrams(docs)
-    tree = suffix_tree_lm.learn(docs, counts)
-    words, c = tree.words, tree.counts
-    assert len(tree.keys1) and (tree.mass1 < 1).any()
-    p0 = tree.root(c)
-    for s in np.flatnonzero(tree.mass1 < 1):
-        own = tree.keys1 >> suffix_tree_lm.BITS == s
-        assert abs(tree.share1[own].sum() + tree.mass1[s] * (p0.sum() + tree.root(np.array([0]))[0]) - 1) < 1e-9
-    for s in range(len(tree.pairs)):
-        own = tree.keys2 >> suffix_tree_lm.BITS == s
-        assert abs(tree.share2[own].sum() + tree.mass2[s] - 1) < 1e-9
-    assert len(words) == len(set(words.tolist()))
+    grams, states, memo = Counter(), {}, {}
+    for t in texts:
+        for k in range(1, 8):
+            grams.update(tuple(t[i : i + k]) for i in range(len(t) - k + 1))
+
+    def logp(context, x):
+        """In the longest suffix of the context that is a state."""
+        while context and context not in states:
+            context = context[1:]
+        if not context:
+            return math.log((c[x] + 1) / (n + v + 1))
+        explicit, mass = states[context]
+        return explicit[x] if x in explicit else mass + logp(context[1:], x)
+
+    for depth in range(1, 7):
+        found = {}
+        for g, m in grams.items():
+            s, x = g[:-1], g[-1]
+            if len(s) == depth and m >= least and (depth == 1 or s[1:] in states):
+                found.setdefault(s, {})[x] = m
+        level = {}
+        for s, nexts in found.items():
+            total = grams[s]
+            below = {x: logp(s[1:], x) for x in nexts}
+            gain = {x: m * (math.log((m - 0.5) / total) - below[x]) - 3 - 0.5 * math.log(total) for x, m in nexts.items()}
+            good = [x for x in nexts if gain[x] > 0]
+            mass = math.log(max(1e-12, 1 - sum((nexts[x] - 0.5) / total for x in good)) / max(1e-12, 1 - sum(math.exp(below[x]) for x in good)))
+            if good and sum(gain[x] for x in good) + (total - sum(nexts[x] for x in good)) * mass > 0:
+                level[s] = ({x: math.log((nexts[x] - 0.5) / total) for x in good}, mass)
+        if not level:
+            break
+        states |= level
+    return c, n, v, states, logp
+
+
+def test_lm_equals_brute_force(spark):
+    for least in (4, 2):
+        c, n, v, states, logp = brute_tree(LM, least)
+        assert max(map(len, states)) >= (3 if least == 2 else 1)
+        want = sorted((repr(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 6), round(sum(logp(tuple(tokens(t)[max(0, k - 8) : k]), w) for k, w in enumerate(tokens(t))) / math.log(10), 6)) for i, t in LM)
+        for head, tables in ((1 << 20, True), (0, True), (2, False)):  # all in the tasks, all in the join, both
+            with nullcontext() if tables else no_table():
+                got = suffix_tree_lm.score_corpus(table(spark, LM), least=least, least_gain=0.0, head_rows=head).collect()
+            assert sorted((repr(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+            assert all(r.train_tokens == n and r.held_out == (fold(r.doc_id, 7) == 2) and r.score < 0 for r in got)
+        assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+@contextmanager
+def no_table():
+    whole, suffix_tree_lm.bit_table = suffix_tree_lm.bit_table, lambda *a: None
+    try:
+        yield
+    finally:
+        suffix_tree_lm.bit_table = whole
+
+
+def test_lm_states_are_distributions():
+    c, n, v, states, logp = brute_tree(LM, 2)
+    for s in [(), *states]:
+        assert abs(sum(math.exp(logp(s, x)) for x in [*c, "unknown"]) - 1) < 1e-9
+
+
+def test_lm_long_texts_go_in_pieces(spark):
+    docs = [(100, "c b a d " * 60), *LM[:30], (101, "x y u m y w " * 50)]
+    rows = table(spark, docs).withColumn("train", F.lit(True)).withColumn("row", F.monotonically_increasing_id())
+    parts = suffix_tree_lm.chunks(rows.coalesce(1), piece=64, segment=100).collect()
+    assert {r.lead for r in parts} == {0, suffix_tree_lm.LEAD} and len(parts) > 20
+    got = [sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in suffix_tree_lm.score_corpus(table(spark, docs), least=2, **cut).collect()) for cut in ({}, {"piece": 64, "segment": 100})]
+    assert got[0] == got[1]
 
 
 def test_lm_empty(spark):
