@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where that is unset, as in tests, a local folder is set."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset a local folder is set, which only a local master can share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="driftloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -21,14 +24,27 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again, which cuts its lineage: lost executors
-    cost no recomputation past this point. The files go when the application's file system closes."""
+    cost no recomputation past this point. The files go with discard(), or when the application's file system closes."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/driftloom-{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing will read again (what a later table has replaced), and lets Spark drop the shuffle
+    files of queries that have ended."""
+    for df in tables:
+        spark = df.sparkSession
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    if tables:
+        spark.sparkContext._jvm.System.gc()
 
 
 def spread(df: DataFrame, most_bytes_a_core: int = 64 << 20) -> DataFrame:
