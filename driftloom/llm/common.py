@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialise, scratch_dir
+from ..sources.scratch import discard, materialise, scratch_dir
 
-__all__ = ["as_bytes", "ascii_lower", "bucket_of", "documents", "materialise", "scratch_dir", "share_by_hash", "slices", "table"]
+__all__ = ["as_bytes", "ascii_lower", "bucket_of", "discard", "documents", "materialise", "scratch_dir", "share_by_hash", "slices", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
