@@ -22,14 +22,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return where
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, large_rows: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again, which cuts its lineage: lost executors
-    cost no recomputation past this point. The files go with discard(), or when the application's file system closes."""
+    cost no recomputation past this point. The files go with discard(), or when the application's file system closes.
+    large_rows: rows of a megabyte or so, a page each, which keeps what readers and writers buffer small."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/driftloom-{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)
-    df.write.parquet(path)
+    pages = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"} if large_rows else {}
+    df.write.options(**pages).parquet(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
