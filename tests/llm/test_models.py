@@ -121,9 +121,9 @@ def test_lm_equals_brute_force(spark):
         c, n, v, states, logp = brute_tree(LM, least)
         assert max(map(len, states)) >= (3 if least == 2 else 1)
         want = sorted((repr(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 6), round(sum(logp(tuple(tokens(t)[max(0, k - 8) : k]), w) for k, w in enumerate(tokens(t))) / math.log(10), 6)) for i, t in LM)
-        for head, tables in ((1 << 20, True), (0, True), (2, False)):  # all in the tasks, all in the join, both
+        for head, tables in ((0.0, True), (2.0, True), (0.02, False)):  # all in the tasks, all looked up, both
             with nullcontext() if tables else no_table():
-                got = suffix_tree_lm.score_corpus(table(spark, LM), least=least, least_gain=0.0, head_rows=head).collect()
+                got = suffix_tree_lm.score_corpus(table(spark, LM), least=least, least_gain=0.0, head_share=head).collect()
             assert sorted((repr(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
             assert all(r.train_tokens == n and r.held_out == (fold(r.doc_id, 7) == 2) and r.score < 0 for r in got)
         assert sum(r.score for r in got) > sum(r.base_score for r in got)
