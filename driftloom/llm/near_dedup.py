@@ -18,7 +18,8 @@ probability close to their Jaccard similarity, so bands of registers find candid
               largest component are compared with all members, in pairs of blocks. So no link between different texts
               that share a band is lost, and no pair of a large group becomes a row.
 
-A pair at the threshold 0.8 shares no band with probability (1 - 0.8^5)^51, below 2e-9.
+73 bands of seven registers: a pair at the threshold 0.8 shares none with probability (1 - 0.8^7)^73, below 4e-8; one at 0.5
+shares one with 0.44, at 0.4 with 0.11, at 0.3 with 0.02.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import as_bytes, documents, materialise, slices
+from .common import as_bytes, discard, documents, materialise, slices
 
-M, ROWS, BASE, CACHE, BLOCK, FILTER_BITS = 256, 5, 1.02, 400_000, 256, 26
+M, ROWS, BASE, CACHE, BLOCK, FILTER_BITS = 512, 7, 1.02, 400_000, 256, 26
 BANDS = M // ROWS
 U = np.uint64
 
@@ -98,7 +99,7 @@ def registers(h: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(M, np.uint16)
     low = np.full(M, np.inf)
-    first, step = (h & U(M - 1)).astype(np.int64), ((h >> U(8)) & U(M - 1) | U(1)).astype(np.int64)
+    first, step = (h & U(M - 1)).astype(np.int64), ((h >> U(16)) & U(M - 1) | U(1)).astype(np.int64)
     j, wide = 0, max(1, min(M, 4096 // n))
     while j < M and ENDS[j] <= low.max():
         turn = np.arange(j, min(M, j + wide))
@@ -292,6 +293,16 @@ def cross_links(nodes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame
     return strays.unionByName(members).groupBy("cluster", "i", "j").applyInArrow(lambda t: block_links(t, percent), "a long, b long")
 
 
+def with_least(edges: DataFrame, both_sides: bool = False, salts: int = 64) -> DataFrame:
+    """u, v, m: edges beside the least neighbour m of u (or u itself, if that is less and both_sides is set). The edges of a
+    node are dealt out over `salts` tasks by v, and its least neighbour goes to each of them: no hub's edges meet in one task."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    least = least.select("u", (F.least("m", "u") if both_sides else F.col("m")).alias("m"), F.explode(F.when(F.col("n") > salts, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))).alias("salt"))
+    few = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > salts).select(F.col("u").alias("hub"))
+    salted = edges.join(F.broadcast(few) if few.count() <= 100_000 else few, F.col("u") == F.col("hub"), "left").withColumn("salt", F.when(F.col("hub").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))).drop("hub")
+    return salted.join(least, ["u", "salt"]).select("u", "v", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp: the smallest node reachable, for each node of links (a, b).
 
@@ -304,22 +315,21 @@ def components(links: DataFrame) -> DataFrame:
         if not deep.head(1):  # stars alone
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        edges = materialise(small, "edges")
+        large = with_least(both, both_sides=True).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = with_least(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        old, edges = edges, materialise(small, "edges")
+        discard(old)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def near_groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 4, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """Returns one row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest id reachable over links, itself included. Null texts and texts without words have no shingles and are linked with
     nothing; texts with fewer words than a shingle are one shingle. Rows without an id are linked with nothing, and
     their component_id is null, kept true. Rows that repeat an id are one document: its set is that of its row with the smallest
-    set key."""
+    set key. Very long texts are read whole, each in one task; what they add to shuffles is their distinct shingles."""
     sk = materialise(sketches(docs, width), "sketches")
     repeated = bool(sk.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").head(1))
     one = sk.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_key").alias("set_key"))
@@ -334,12 +344,12 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame
     # the join also drops what the bit table let through, and of rows that repeat an id all but the one that decided its class
     nodes = nodes.join(found, ["rep", "set_key"]).drop("set_key")
     nodes = materialise(nodes.dropDuplicates(["rep"]) if repeated else nodes, "nodes")
-    keyed, large = links_within(nodes)
+    keyed, large = links_within(nodes, block)
     links = materialise(keyed.groupBy("large", "i").applyInArrow(lambda t: block_links(t, percent), "a long, b long"), "links")
     comp = components(links)
     if large.head(1):
         wide = nodes.join(large.select("cluster"), "cluster").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        more = materialise(cross_links(wide, percent), "links")
+        more = materialise(cross_links(wide, percent, block), "links")
         comp = components(links.union(more)) if more.head(1) else comp
     class_of = classes.select("set_key", "rep").join(comp, classes.rep == comp.node, "left").select("set_key", F.coalesce("comp", "rep").alias("component_id"))
     ids = sk.select("doc_id", "set_key", "n_shingles").join(one.withColumnsRenamed({"set_key": "own_key", "doc_id": "own_id"}), F.col("doc_id") == F.col("own_id"), "left").withColumn("set_key", F.col("own_key"))
