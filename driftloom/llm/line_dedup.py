@@ -26,6 +26,7 @@ from .common import as_bytes, documents, materialise, slices
 
 KEYS_PER_SHARD = 200_000
 SLOTS, KICKS = 4, 400
+NOBODY = -(1 << 63)  # in place of an owner that isn't known
 
 
 class CuckooFilter:
@@ -117,15 +118,15 @@ class Shard:
             size *= 2
 
     def dump(self) -> dict:
-        return {"filter": self.filter.cells.tobytes(), "keys": b"".join(self.table), "counts": np.array([v[0] for v in self.table.values()], "<i8").tobytes()}
+        return {"filter": self.filter.cells.tobytes(), "keys": b"".join(self.table), "counts": np.array([v[0] for v in self.table.values()], "<i8").tobytes(), "owners": np.array([NOBODY if v[1] is None else v[1] for v in self.table.values()], "<i8").tobytes()}
 
     @classmethod
     def load(cls, row: dict) -> Shard:
         out = cls()
         out.filter.cells = array("H", row["filter"])
         out.filter.n = len(out.filter.cells) // SLOTS
-        counts = np.frombuffer(row["counts"], "<i8").tolist()
-        out.table = {row["keys"][16 * i : 16 * i + 16]: [n, None] for i, n in enumerate(counts)}
+        counts, owners = (np.frombuffer(row[c], "<i8").tolist() for c in ("counts", "owners"))
+        out.table = {row["keys"][16 * i : 16 * i + 16]: [n, None if o == NOBODY else o] for i, (n, o) in enumerate(zip(counts, owners, strict=True))}
         return out
 
 
@@ -176,22 +177,18 @@ def repeated_keys(refs: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> Data
                 yield from got.select(["key", "count_all", "doc_id_min"]).rename_columns(pairs.names).cast(pairs).combine_chunks().to_batches()
 
     def through_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, Shard] = {}
+        own = Shard(keys_per_shard // 2)
         for batch in batches:
-            for shard, key, n, owner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard not in own:
-                    own[shard] = Shard(keys_per_shard // 2)
-                own[shard].insert(key, n, owner)
-        for shard in own.values():
-            rows = [(k, n, o) for k, (n, o) in shard.table.items() if n > 1]
-            for at in range(0, len(rows), 10_000):
-                part = rows[at : at + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part, strict=True), pairs.types, strict=True)], schema=pairs)
+            for key, n, owner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own.insert(key, n, owner)
+        rows = [(k, n, o) for k, (n, o) in own.table.items() if n > 1]
+        for at in range(0, len(rows), 10_000):
+            part = rows[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part, strict=True), pairs.types, strict=True)], schema=pairs)
 
     kind = "key binary, n_docs long, owner long"
     partial = refs.select("key", "doc_id").mapInArrow(combine, kind)
-    dealt = partial.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", "n_docs", "owner").repartition(shards, "shard")
-    return dealt.mapInArrow(through_shard, kind)
+    return partial.repartition(shards, "key").mapInArrow(through_shard, kind)  # a task is a shard
 
 
 def dropped_lines(refs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -212,7 +209,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, keys_per_shard: int = KEYS
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = 10, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
-    """The rows of docs with all their columns, text as dedup_lines keeps it and n_chars (where there is one) to match."""
+    """The rows of docs with all their columns, text as dedup_lines keeps it and n_chars (where there is one) to match.
+
+    Nulls, ties, repeated rows and very long texts are as in dedup_lines; a null text becomes empty. An empty table gives none. Other
+    columns may have any names."""
     rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
     out = _cut(rows, _drops_of(docs, min_chars, keys_per_shard), rows.schema, "text")
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
@@ -226,14 +226,15 @@ def _drops_of(docs: DataFrame, min_chars: int, keys_per_shard: int) -> DataFrame
 def _cut(rows: DataFrame, drops: DataFrame, schema, text_column: str) -> DataFrame:
     """rows with text_column after the drops; n_lines and n_dropped too where rows have no columns of these names but the
     schema does."""
-    names = {"doc_id": "_d_id", "tag": "_d_tag", "drops": "_drops"}
-    tag = F.xxhash64(F.col("text"))
-    joined = rows.withColumn("_tag", tag).join(drops.withColumnsRenamed(names), F.col("doc_id").eqNullSafe(F.col("_d_id")) & (F.col("_tag") == F.col("_d_tag")), "left")
+    free = "_" * (1 + max(map(len, rows.columns)))  # longer than any column's name
+    drop_name = f"{free}drops"
+    names = {"doc_id": f"{free}id", "tag": f"{free}tag", "drops": drop_name}
+    joined = rows.withColumn(f"{free}own", F.xxhash64(F.col("text"))).join(drops.withColumnsRenamed(names), F.col("doc_id").eqNullSafe(F.col(f"{free}id")) & (F.col(f"{free}own") == F.col(f"{free}tag")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, n_lines, n_dropped = [], [], []
-            for text, drop in zip(as_bytes(batch, "text"), batch.column("_drops").to_pylist(), strict=True):
+            for text, drop in zip(as_bytes(batch, "text"), batch.column(drop_name).to_pylist(), strict=True):
                 lines, drop = text.split(b"\n"), set(drop or ())
                 texts.append(b"\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
                 n_lines.append(len(lines))
@@ -244,28 +245,44 @@ def _cut(rows: DataFrame, drops: DataFrame, schema, text_column: str) -> DataFra
 
     own = rows.columns
     wanted = [f.name for f in schema] if not isinstance(schema, str) else [x.split()[0] for x in schema.split(", ")]
-    return joined.select(*own, "_drops").mapInArrow(cut, schema)
+    return joined.select(*own, drop_name).mapInArrow(cut, schema)
+
+
+INDEX = "shard int, filter binary, keys binary, counts binary, owners binary"
 
 
 def update_shards(state: DataFrame | None, refs: DataFrame, sign: int, n_shards: int) -> DataFrame:
-    """shard, filter, keys, counts after the references in refs are inserted (sign 1) or deleted (sign -1).
+    """shard, filter, keys, counts, owners after the references in refs are inserted (sign 1) or deleted (sign -1).
 
-    This is the incremental form: an index is a state (this table, n_shards fixed when it is made) and the refs table.
-    Deleting what was inserted gives back the counts from before. Owners follow from the refs that remain
-    (repeated_keys over them), so a deletion of the owner hands the line to the next smallest id."""
-    blob = pa.schema([("shard", pa.int32()), ("filter", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
-    delta = refs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int"))
+    This is the incremental form: an index is a state (this table, n_shards fixed when it is made) and the refs table. Each
+    key keeps the smallest id that brought it. Deleting what was inserted gives back the counts from before; where an owner
+    goes and others remain, the next one follows from the refs that remain (repeated_keys over them)."""
+    blob = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("filter", "keys", "counts", "owners"))])
+    delta = refs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int"))
     if state is None:
-        state = refs.sparkSession.createDataFrame([], "shard int, filter binary, keys binary, counts binary")
+        state = refs.sparkSession.createDataFrame([], INDEX)
 
     def apply(old: pa.Table, change: pa.Table) -> pa.Table:
         shard = Shard.load(old.to_pylist()[0]) if old.num_rows else Shard(max(1024, 2 * change.num_rows))
         number = (old if old.num_rows else change).column("shard")[0].as_py()
-        for key, n in zip(change.column("key").to_pylist(), change.column("n").to_pylist(), strict=True):
-            shard.insert(key, n) if sign > 0 else shard.delete(key, n)
+        for key, n, owner in zip(*(change.column(c).to_pylist() for c in ("key", "n", "owner")), strict=True):
+            shard.insert(key, n, owner) if sign > 0 else shard.delete(key, n)
         return pa.Table.from_pylist([{"shard": number, **shard.dump()}], schema=blob)
 
-    return state.groupBy("shard").cogroup(delta.groupBy("shard")).applyInArrow(apply, "shard int, filter binary, keys binary, counts binary")
+    return state.groupBy("shard").cogroup(delta.groupBy("shard")).applyInArrow(apply, INDEX)
+
+
+def indexed_keys(state: DataFrame) -> DataFrame:
+    """key, n_docs, owner of an index's keys that at least two documents hold: what repeated_keys gives for its refs."""
+    pairs = pa.schema([("key", pa.binary()), ("n_docs", pa.int64()), ("owner", pa.int64())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            for row in batch.to_pylist():
+                some = [(k, n, o) for k, (n, o) in Shard.load(row).table.items() if n > 1]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in some], t) for k, t in enumerate(pairs.types)], schema=pairs)
+
+    return state.mapInArrow(rows, "key binary, n_docs long, owner long")
 
 
 SQL = """

@@ -85,6 +85,20 @@ def test_pipeline_form_keeps_columns(spark):
     assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(1, "the same line here\nb", "en", "s", 20), (2, "c", None, "s", 1)]
 
 
+def test_index_has_the_owners(spark):
+    refs = line_dedup.line_refs(table(spark, LINES))
+    index = line_dedup.update_shards(None, refs.filter("doc_id < 9"), 1, 3)
+    index = line_dedup.update_shards(index, refs.filter("doc_id >= 9 OR doc_id IS NULL"), 1, 3)
+    plain = lambda df: sorted((bytes(r.key), r.n_docs, r.owner) for r in df.filter("owner IS NOT NULL").collect())
+    assert plain(line_dedup.indexed_keys(index)) == plain(line_dedup.repeated_keys(refs)) != []
+
+
+def test_lines_beside_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "the same line here\nb", 1, 2, 3, 4), (2, "the same line here\nc", 1, 2, 3, 4)], "doc_id long, text string, _tag int, _drops int, _d_id int, _d_tag int")
+    out = line_dedup.without_repeated_lines(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(1, "the same line here\nb", 1, 2, 3, 4), (2, "c", 1, 2, 3, 4)]
+
+
 def test_cuckoo_shard_is_reversible():
     rnd, shard, counts = random.Random(1), line_dedup.Shard(16), defaultdict(int)
     keys = [rnd.randbytes(16) for _ in range(5000)]
@@ -166,6 +180,44 @@ def test_near_groups_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("block,table_of_ids", [(8, True), (8, False), (3, True)])
+def test_near_groups_of_large_clusters(spark, monkeypatch, block, table_of_ids):
+    """Clusters of many blocks: chains of small edits, so that most of a cluster is no direct link of most others."""
+    rnd, rows = random.Random(block), []
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    for chain in range(3):
+        words = list(base[:60]) + [f"c{chain}x{k}" for k in range(60)]
+        for step in range(14):
+            rows.append((chain * 100 + step, " ".join(words)))
+            at = rnd.randrange(len(words) - 24)
+            more = 4 if step % 5 != 4 else 22  # a larger edit breaks the chain, but the parts still share bands
+            words[at : at + more] = [f"n{rnd.randrange(10**6)}" for _ in range(more)]
+    sets = {i: frozenset(tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    if not table_of_ids:
+        monkeypatch.setattr(near_dedup, "candidate_filter", lambda *a: None)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(table(spark, rows), block=block).collect()}
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) > 3
+
+
+def test_hubs_are_dealt_out(spark):
+    star = [(0, i) for i in range(1, 400)] + [(500, 501), (501, 502), (502, 399)]
+    got = {r.node: r.comp for r in near_dedup.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(400), 500, 501, 502]}
+    edges = spark.createDataFrame([(1000, i) for i in range(300)], "u long, v long")
+    parts = near_dedup.with_least(edges, salts=16)
+    assert parts.count() == 300 and {r.m for r in parts.collect()} == {0}
+
+
 def test_near_edges_of_the_contract(spark):
     got = near_dedup.near_groups(table(spark, [(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (7, "A B C D E"), (None, None)])).collect()
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id), r.kept) for r in got) == [("5", 2, "5", True), ("5", 2, "5", True), ("7", 2, "5", False), ("None", 0, "None", True), ("None", 2, "None", True)]
