@@ -8,7 +8,8 @@ by a logistic regression that is fitted on a part of the sample that the network
 
 A document's label says only that some window is toxic, so training repeats: choose each document's most toxic window
 by the present model (by the log odds at first), then take Adam steps on those. It takes a bounded sample: at most
-`sample_rows` toxic and three times as many other labelled rows, of texts up to `sample_bytes`. The model has a fixed size.
+`sample_rows` toxic and three times as many other labelled rows, whole up to `sample_bytes`, and of longer texts one part of
+that size, picked by a hash of the id. The model has a fixed size.
 
 Word vectors times input weights are computed once for each distinct word of a task and looked up after that.
 """
@@ -322,22 +323,25 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 9, batch: int = 256,
     return net
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample_rows: int = 1500, sample_bytes: int = 16_384, folds: int = 5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample_rows: int = 1500, sample_bytes: int = 65_536, folds: int = 5) -> DataFrame:
     """Returns one row per row of docs: doc_id, held_out, score (0 to 1), predicted.
 
     Null texts are empty; texts without words score 0 (0.5 or more only if most labelled rows are toxic). Null labels
     and labels of unknown documents play no part; without labels of both classes every score is the smoothed share of
-    label 1. Repeated rows each get their row. held_out: crc32 of the id as text modulo `folds` is 0."""
+    label 1. Very long texts are scored whole. Repeated rows each get their row. held_out: crc32 of the id as text modulo `folds` is 0."""
     spark = docs.sparkSession
     rows = documents(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter("y IN (0, 1) AND doc_id IS NOT NULL").filter(bucket_of(F.col("doc_id"), folds) != 0)
     # ids first, so that only the sample's texts move
-    fits = rows.filter(F.octet_length("text") <= sample_bytes).select("doc_id").filter("doc_id IS NOT NULL").join(known, "doc_id").distinct()
+    fits = rows.select("doc_id").filter("doc_id IS NOT NULL").join(known, "doc_id").distinct()
     fits = materialise(fits, "labelled")
     picked = [r for y in (0, 1) for r in share_by_hash(fits.filter(F.col("y") == y), sample_rows * (1 if y else 3), "doc_id").collect()]
     chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, y int"))  # about 4 * sample_rows ids at most
     # a document whose rows repeat is one row of the sample
-    sample = rows.filter(F.octet_length("text") <= sample_bytes).join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    parts = F.ceil(F.octet_length("text") / sample_bytes).cast("int")
+    size = F.ceil(F.char_length("text") / parts).cast("int")
+    part = F.when(parts > 1, F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id"), parts) * size + 1).cast("int"), size)).otherwise(F.col("text"))
+    sample = rows.join(chosen, "doc_id").select("doc_id", "y", part.alias("text")).groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     sample.sort(key=lambda r: (r.doc_id, r.text, r.y))
     net = spark.sparkContext.broadcast(fit_network([r.text.encode("utf-8", "replace") for r in sample], np.array([r.y for r in sample], f32)))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
