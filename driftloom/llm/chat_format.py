@@ -5,7 +5,8 @@ has already had (the system turn, or history) is `[CTX role]text[/TURN]`. In tex
 entities, so a control string can't come from a text, and reading back is exact. The loss mask of a window is a list of
 (start, length) in code points over its new assistant turns: repeated targets are masked out.
 
-Prefix sums of turn tokens over each conversation (one window function over the rows, sorted by turn) choose the
+A turn's tokens are counted as the bytes of its formatted form, which no byte-level vocabulary passes, so a window holds to
+its budget under each of them; exact counts may be given as a column. Prefix sums of turn tokens over each conversation (one window function over the rows, sorted by turn) choose the
 spans: a window ends before the first turn that would pass the budget; the next one repeats the system turn and the
 last turns before it as far as `history` tokens and `history_turns` turns allow. A turn larger than the budget has a
 window to itself. The conversation's rows are gathered once, on its own key.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ENTITIES = [("&", "&amp;"), ("[", "&lsq;"), ("]", "&rsq;"), ("<", "&lt;"), (">", "&gt;")]
-MARKS = 8  # tokens counted for a turn's own marks
+ENDS = len("<s></s>")
 TURN = r"\[(TURN|CTX) ([^\]]*)\]([^\[]*)\[/TURN\]"
 
 
@@ -34,21 +35,24 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def format_windows(conversations: DataFrame, budget: int = 512, history: int = 96, history_turns: int = 3) -> DataFrame:
+def format_windows(conversations: DataFrame, budget: int = 2048, history: int = 384, history_turns: int = 3, tokens: Column | None = None) -> DataFrame:
     """Returns a row for each window: conv_id, window (from 0), formatted, loss (array of start, length), n_new, n_repeated.
 
-    Rows are taken by turn, ties by role and text; repeated rows are turns of their own. Null texts and roles are
+    tokens: a column with the tokens of a row's formatted turn, if they are known. Rows are taken by turn, ties by role and text; repeated rows are turns of their own. Null texts and roles are
     empty. A null conv_id is a conversation. A system turn counts as such where it comes first. An empty
-    table gives no rows; a conversation that is its system turn alone gives one window."""
-    size = (F.ceil(F.octet_length("text") / 4) + MARKS).cast("long")
-    rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    table gives no rows; a conversation that is its system turn alone gives one window. Very long texts are turns like others, in a
+    window of their own where they pass the budget; a conversation is put together in one row."""
+    size = F.octet_length(escape(F.col("role"))) + F.octet_length(escape(F.col("text"))) + len("[TURN ][/TURN]")
+    given = F.lit(None) if tokens is None else tokens
+    rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), given.cast("long").alias("given"))
+    size = F.coalesce("given", size.cast("long"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("i", F.row_number().over(order)).withColumn("tok", size).withColumn("sys", (F.col("i") == 1) & (F.col("role") == "system"))
     rows = rows.withColumn("cum", F.sum(F.when(F.col("sys"), F.lit(0)).otherwise(F.col("tok"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     turn = F.struct("i", "cum", "tok", "sys", F.col("role").alias("who"), escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
     conv = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     conv = conv.withColumn("body", F.filter("turns", lambda x: ~x["sys"])).withColumn("head", F.filter("turns", lambda x: x["sys"]))
-    conv = conv.withColumn("room", F.lit(budget).cast("long") - F.coalesce(F.get("head", F.lit(0))["tok"], F.lit(0)))
+    conv = conv.withColumn("room", F.lit(budget - ENDS).cast("long") - F.coalesce(F.get("head", F.lit(0))["tok"], F.lit(0)))
 
     def before(x: Column) -> Column:
         return x["cum"] - x["tok"]
@@ -66,16 +70,16 @@ def format_windows(conversations: DataFrame, budget: int = 512, history: int = 9
     conv = conv.withColumn("w", F.aggregate("body", start, step, lambda acc: acc["w"]))
     conv = conv.withColumn("w", F.when(F.size("w") == 0, F.array(F.struct(F.lit(1).alias("s"), F.lit(0).alias("h")))).otherwise(F.col("w")))
 
-    one = conv.select("conv_id", "body", "head", F.size("w").alias("n_w"), "w", F.posexplode("w").alias("window", "at"))
-    stop = F.when(F.col("window") + 1 < F.col("n_w"), F.get("w", F.col("window") + 1)["s"]).otherwise(F.size("body") + 1)
     piece = lambda kind: lambda x: F.struct(F.concat(kind, x["role"], F.lit("]")).alias("open"), x["text"].alias("text"), ((x["who"] == "assistant") & (kind == "[TURN ")).alias("target"))
     ctx, new = F.lit("[CTX "), F.lit("[TURN ")
-    pieces = F.concat(
-        F.transform("head", piece(F.when(F.col("window") == 0, new).otherwise(ctx))),
-        F.transform(F.slice("body", F.col("at.s") - F.col("at.h"), F.col("at.h")), piece(ctx)),
-        F.transform(F.slice("body", F.col("at.s"), stop - F.col("at.s")), piece(new)),
-    )
-    out = one.select("conv_id", "window", pieces.alias("pieces"))
+
+    def window(at: Column, k: Column) -> Column:
+        """The k-th window's number and pieces."""
+        stop = F.coalesce(F.get("w", k + 1)["s"], F.size("body") + 1)
+        pieces = F.concat(F.transform("head", piece(F.when(k == 0, new).otherwise(ctx))), F.transform(F.slice("body", at["s"] - at["h"], at["h"]), piece(ctx)), F.transform(F.slice("body", at["s"], stop - at["s"]), piece(new)))
+        return F.struct(k.alias("window"), pieces.alias("pieces"))
+
+    out = conv.select("conv_id", F.explode(F.transform("w", window)).alias("x")).select("conv_id", "x.window", "x.pieces")
     close = len("[/TURN]")
     begin = F.struct(F.lit(len("<s>")).cast("int").alias("pos"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 

@@ -1,5 +1,7 @@
 from hashlib import sha256
 
+from pyspark.sql import functions as F
+
 from driftloom.llm import chat_format as c
 
 
@@ -30,7 +32,7 @@ ROWS = [
 
 def test_read_back_equals_brute_force(spark):
     df = spark.createDataFrame([(*r, "clash", 1) for r in ROWS], "conv_id long, turn long, role string, text string, formatted string, window int")
-    for budget, history, turns in ((512, 96, 3), (60, 30, 2), (10_000, 0, 0), (1, 1, 1)):
+    for budget, history, turns in ((2048, 384, 3), (240, 120, 2), (40_000, 0, 0), (1, 1, 1)):
         w = c.format_windows(df, budget, history, turns)
         got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in c.read_back(w).collect()}
         assert got == brute(ROWS)
@@ -38,10 +40,12 @@ def test_read_back_equals_brute_force(spark):
 
 def test_windows_keep_the_budget_and_repeat_history(spark):
     df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
-    windows = c.format_windows(df, 200, 60, 2).collect()
+    windows = c.format_windows(df, 900, 240, 2).collect()
     seven = sorted((w for w in windows if w.conv_id == 7), key=lambda w: w.window)
     assert len(seven) > 5 and any(w.n_repeated for w in seven) and all(w.n_repeated <= 2 for w in seven)
-    assert all(w.n_new == 1 or len(w.formatted) < 4 * 200 + 200 for w in seven)
+    assert all(w.n_new == 1 or len(w.formatted.encode()) <= 900 for w in windows)
+    given = c.format_windows(df, 10, 0, 0, tokens=F.lit(4)).filter("conv_id = 7").collect()
+    assert {w.n_new for w in given} == {2 if c.ENDS >= 2 else 1} or max(w.n_new for w in given) <= 2
     one = [w for w in windows if w.conv_id == 1]
     assert len(one) > 1 and all("be &lsq;kind&rsq; &amp; &lt;b&gt;" in w.formatted for w in one)
     assert sum(len(w.loss) for w in one) == 3
