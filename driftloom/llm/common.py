@@ -51,9 +51,9 @@ def bucket_of(doc_id: Column, by: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by
 
 
-def share_by_hash(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+def share_by_hash(df: DataFrame, rows: int, *keys: str, of: int | None = None) -> DataFrame:
     """About `rows` rows of df, or all where it has no more: those whose keys' hash is below a share. Every task picks its
     own, so what reaches the driver is about `rows` rows in all, however many tasks there are. Rows with equal keys go
-    together: keys should be distinct."""
-    n = df.count()
+    together: keys should be distinct. of: the number of rows, if it is known."""
+    n = df.count() if of is None else of
     return df if n <= rows else df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * rows / n))

@@ -180,11 +180,12 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 150, rate: f
     return model
 
 
-def train(feats: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 20_000, folds: int = 5) -> Additive:
-    """Fits on about sample_rows labelled rows at most, outside the held-out fold, picked by a hash of the id."""
+def train(feats: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 20_000, folds: int = 5, of: int | None = None) -> Additive:
+    """Fits on about sample_rows labelled rows at most, outside the held-out fold, picked by a hash of the id. of: how many
+    labelled rows there are, where feats has the sample's alone."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL").filter(bucket_of(F.col("doc_id"), folds) != 0)
     labelled = feats.filter(F.col("doc_id").isNotNull()).join(known, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x"))
-    rows = sorted(share_by_hash(labelled, sample_rows, "doc_id", "y").collect(), key=lambda r: (r.doc_id, r.y))
+    rows = sorted(share_by_hash(labelled, sample_rows, "doc_id", "y", of=of).collect(), key=lambda r: (r.doc_id, r.y))
     x = np.array([r.x for r in rows], np.float64).reshape(len(rows), len(NAMES))
     return fit(x, np.array([r.y for r in rows], np.float64))
 
@@ -211,8 +212,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = 20_000, folds: int = 5) -> DataFrame:
     """The rows of docs, with all their columns, that score_quality would predict 1. No row moves: once the model is
-    fitted, each task scores and filters its own rows."""
-    model = train(materialise(featurise(docs), "quality"), labels, "quality", sample_rows, folds)
+    fitted on the sample's features, each task scores and filters its own rows.
+
+    Nulls, repeated rows and missing labels are as in score_quality; rows that repeat are kept or go together. An empty table
+    gives none."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL").filter(bucket_of(F.col("doc_id"), folds) != 0)
+    rows = documents(docs).filter("doc_id IS NOT NULL")
+    there = materialise(rows.select("doc_id").join(known, "doc_id").distinct(), "labelled")
+    ids = share_by_hash(there, sample_rows, "doc_id", "y").select("doc_id").distinct()  # about sample_rows at most
+    model = train(featurise(rows.join(F.broadcast(ids), "doc_id", "left_semi")), there, "y", sample_rows, folds, there.count())
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

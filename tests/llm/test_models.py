@@ -56,6 +56,9 @@ def test_accepted_keeps_columns(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
     out = quality.accepted(docs, labels)
     assert out.columns == docs.columns and {r.doc_id % 2 for r in out.collect()} == {1}
+    for sample in (20_000, 60):  # the sample's features alone give the model that all of them give
+        kept = {r.doc_id for r in quality.accepted(docs, labels, sample_rows=sample).collect()}
+        assert kept == {r.doc_id for r in quality.score_quality(docs, labels, sample_rows=sample).collect() if r.predicted}
 
 
 def test_additive_tables_are_what_the_score_adds():
@@ -209,6 +212,21 @@ def test_toxicity_finds_planted_words(spark):
     assert got[1003].predicted == 1 and got[1000].score == got[1001].score == got[1002].score < 0.5
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    rnd = random.Random(5)
+    rows, labels = [], []
+    for i in range(150):
+        words, bad = prose(rnd, 400).split(), i % 2 == 0
+        if bad:
+            for k in range(0, 400, 5):
+                words[k] = rnd.choice(["vexgrub", "snarlpit"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), sample_bytes=600).collect()}
+    held = [i for i, _ in labels if fold(i, 5) == 0]
+    assert sum(got[i].predicted == dict(labels)[i] for i in held) / len(held) > 0.9
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.score_toxicity(table(spark, [(1, "a b")]), none).collect()] == [0.5]
