@@ -176,14 +176,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, filt
     min(least, item_tokens) on. Items of fewer than five tokens, and windows that are mostly slots, match with their
     own values alone. Items without a token match nothing. Null
     texts and ids match nothing; rows that repeat an id are one document; repeated items are reported under their
-    ids. An empty table on either side gives no rows."""
+    ids, and where windows lie on several alignments with one item, what any of them covers counts. Very long texts are read
+    whole. An empty table on either side gives no rows."""
     bench = benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("id IS NOT NULL").distinct()
     items = materialise(windows(bench, None, None), "benchmark-windows")
     widths = [r.width for r in items.select("width").distinct().collect()]  # at most WINDOW values
     if not widths:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, covered long, item_tokens long")
     n = items.count()
-    known = np.array([r.h for r in items.select("h").distinct().collect()], np.int64).astype(np.uint64) if n <= filter_bound else None
+    known = items.select("h").distinct().toArrow().column("h").to_numpy().view(np.uint64) if n <= filter_bound else None
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("id IS NOT NULL")
     hits = windows(rows, widths, known).drop("n_tokens").withColumnsRenamed({"id": "doc_id", "pos": "doc_pos", "slots": "doc_slots"})
     side = items.withColumnsRenamed({"id": "item_id", "pos": "item_pos", "slots": "item_slots", "n_tokens": "item_tokens"})
