@@ -36,6 +36,38 @@ def test_base_phrases_equal_brute_force(spark):
     assert license_scan.scan_licenses(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        ("// SPDX-License-Identifier: MIT", "mit"), ("# SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("This program is made available under the terms of the Eclipse Public License - v 2.0", "epl-2.0"),
+        ("Distributed under the Boost Software License, Version 1.0.", "boost-1.0"), ("Released under the ISC License", "isc"), ("we discussed the mit license in class", ""), ("a zlib license and an isc license differ", ""),
+        ("Licensed under the Apache License, Version 2.0 (the License);", "apache-2.0"), ("licensed under the GNU Lesser General Public License version 3", "gpl,lgpl,lgpl-3.0"), ("The GNU Affero General Public License version 3", "agpl-3.0,gpl"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of X nor the names of its contributors may be used to endorse or promote products", "bsd,bsd-3-clause"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ],
+)
+def test_licence_notices(text, labels):
+    index = license_scan.RareWordIndex({w: 1.0 + len(w) / 10 for w in license_scan.licence_vocabulary()})
+    places, found, score = index.scan(license_scan.words_of(text.encode()))
+    assert ",".join(sorted({x for _, x in places} | found)) == labels and 0 <= score <= 1
+
+
+def test_notices_equal_plain_search(spark):
+    """Every alignment that the index finds, and no other, by looking at all places of all templates."""
+    rows = [*LICENSES, *((100 + k, f"x {t[1]} y") for k, t in enumerate(license_scan.TEMPLATES[::7]))]
+    n, df = license_scan.document_frequencies(table(spark, rows))
+    index = license_scan.RareWordIndex({w: __import__("math").log((n + 1) / (k + 1)) for w, k in df.items()})
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(table(spark, rows)).collect() if r.doc_id != 1}
+    for i, text in rows:
+        words, want = license_scan.words_of((text or "").encode()), set()
+        for (label, template, must, base), weights in zip(index.entries, index.weights):
+            for s in range(-len(template), len(words)):
+                agree = [0 <= s + i < len(words) and words[s + i] == w for i, w in enumerate(template)]
+                if all(agree[i] for i in must) and (base or sum(x for x, ok in zip(weights, agree) if ok) / sum(weights) >= 0.5):
+                    want.add(label)
+        assert i == 1 or got[i] == ",".join(sorted(want))
+
+
 ITEM = "A farmer sells 12 boxes of ripe apples to Mary at the market for 3 dollars each and then buys 4 more boxes later."
 OTHER = ITEM.replace("12", "57").replace("Mary", "Joan").replace("3 dollars", "9 euros").replace(" 4 ", " 8 ")
 BENCH = [(1, ITEM), (2, "short one"), (3, "seven words are just enough to match"), (4, None), (None, ITEM), (5, "If a train leaves 5 minutes after 5 o clock then 5 more trains follow it every 5 minutes until night falls on the town.")]
