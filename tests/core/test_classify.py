@@ -44,6 +44,22 @@ def signatures(path, old, new):
         ("a.py", "x = [\n  1,\n  2,\n]", "x = [1, 2]", [("formatting", "")]),
         ("a.py", "t = cfg.get('x')", "t = settings.x", [("replace|cfg|.|get|(|'x'|)|\x01|settings|.|x", "")]),
         ("a.py", "f(role='x')", "f(roles=('x',))", [("replace|role|=|\x02|\x01|roles|=|(|\x02|,|)", "")]),
+        ("a.py", "send(owner=person)", "send(owner=str(person.id))", [("replace|\x02|\x01|str|(|\x02|.|id|)", "")]),
+        ("a.py", "if load(u):\n    pass\n", "if fetch(u) and ok:\n    pass\n", [("rename|load|fetch", "call"), ("replace|\x01|and|ok", "")]),
+        ("a.py", "x = a and b", "x = a or b", [("replace|and|\x01|or", "")]),
+        ("a.py", "x = load(\n", "x = fetch(\n", [("rename|load|fetch", "call")]),
+        ("a.py", "load(a)  # one", "fetch(a)  # two", [("rename|load|fetch", "call"), ("docs", "")]),
+        ("a.py", "load(a) + load(b)", "fetch(a) + fetch(b)", [("rename|load|fetch", "call")]),
+        ("a.py", "f(a, b, c)", "f(a)", [("args|f|-pos:2", "call")]),
+        ("a.py", "f(a, n=1, m=2)", "f(a)", [("args|f|-kw:m,-kw:n", "call")]),
+        ("a.py", "f(a, b)", "f(a, c + 1)", [("replace|b|\x01|c|+|1", "")]),
+        ("a.py", "f(a, n=1)", "f(a, n=2)", [("replace|1|\x01|2", "")]),
+        ("a.py", "f(a, *rest)", "f(a)", [("args|f|-*", "call")]),
+        ("a.py", "def f(a): ...", "def f(a, b=None): ...", [("args|f|+kw:b", "definition")]),
+        ("a.py", "if a:\n    return 1\nelse:\n    x()\n", "", [("replace|if|a|:|NEWLINE|INDENT|return|1|NEWLINE|DEDENT|else|:|NEWLINE|INDENT|x|(|)|NEWLINE|\x01", "")]),
+        ("a.py", "if a(b[1:2]):\n    raise E(1)\n", "", [("guard|-a ( b [ 1 : 2 ] )", "")]),
+        ("a.ts", "if (!x) { throw new E(1); }\n", "", [("guard|-! x", "")]),
+        ("a.ts", "if (x) { y(); }\n", "", [("replace|if|(|x|)|{|y|(|)|NEWLINE|}|NEWLINE|\x01", "")]),
         ("a.ts", "const x: number = a();", "const x: string = b();", [("retype|number|string", "variable x"), ("rename|a|b", "call")]),
         ("a.ts", "import { a, b } from './m'", "import { a } from './m'", [("import|./m.b|", "b")]),
         ("a.ts", "const o = { a: 1, b: 'x' };", "const o = { a: 1 };", [("list|object|-b : <str>", "object")]),
