@@ -13,6 +13,19 @@ def exact_pairs(deleted: DataFrame, inserted: DataFrame, on: list[str], d_id: st
     return rank(deleted, d_id).select(*on, "k", d_id).join(rank(inserted, i_id).select(*on, "k", i_id), [*on, "k"])
 
 
+def nearest_pairs(deleted: DataFrame, inserted: DataFrame, on: list[str], path: str, d: tuple[str, str], i: tuple[str, str]) -> DataFrame:
+    """Blocks with equal streams as on, d id, i id: in the same path first, the k-th by place with the k-th, then what is left by
+    place over all paths. d and i: names of id and place. Two equi-joins on ranks, so no pair is used twice."""
+    rank = lambda df, by, at: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(at)))
+
+    def met(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+        return rank(a, by, d[1]).select(*by, "k", d[0]).join(rank(b, by, i[1]).select(*by, "k", i[0]), [*by, "k"]).select(*on, d[0], i[0])
+
+    near = met(deleted, inserted, [*on, path])
+    rest = lambda df, name: df.join(near.select(*on, name), [*on, name], "left_anti")
+    return near.unionByName(met(rest(deleted, d[0]), rest(inserted, i[0]), on))
+
+
 def multiplicity(rows: DataFrame, on: list[str]) -> DataFrame:
     return rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
 
@@ -72,9 +85,16 @@ def all_changed(mentions: DataFrame, head: DataFrame, on: list[str], name: str,
     return agg.filter((F.col("mentions") >= least) & F.col("every")).drop("every").join(head.select(*on, name).distinct(), [*on, name], "left_anti")
 
 
+def first_places(rows: DataFrame, by: list[str], order: list[str], cap: int) -> DataFrame:
+    """by, total, locations: how many rows each key has, and its first `cap` by order. Ranks are cut off before rows are
+    gathered, so no key's rows meet in one array."""
+    total = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
+    top = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_k") <= cap)
+    some = top.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("locations"))
+    return total.join(some, by)
+
+
 def left_over(renames: DataFrame, identifiers: DataFrame, defined: DataFrame, on: list[str], old: str, name: str, cap: int = 50, order: list[str] | None = None) -> DataFrame:
     """References at head to renamed definitions that nothing defines any more: on, old, total, locations (the first `cap`)."""
     names = renames.select(*on, F.col(old).alias(name)).distinct().join(defined.select(*on, name).distinct(), [*on, name], "left_anti")
-    place = F.struct(*(order or []))
-    met = identifiers.join(names, [*on, name])
-    return met.groupBy(*on, name).agg(F.count(F.lit(1)).alias("total"), F.slice(F.array_sort(F.collect_list(place)), 1, cap).alias("locations"))
+    return first_places(identifiers.join(names, [*on, name]), [*on, name], order or [name], cap)
