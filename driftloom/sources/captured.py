@@ -10,6 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RECORD, FIELD = "\x1e", "\x1f"
+NO_NUL = "position(unhex('00'), content) = 0"
+
+
+def lossy_text(content: Column) -> Column:
+    """Bytes as UTF-8 text, with replacement characters where they aren't."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def name_status(raw: bytes) -> list[tuple[str, str | None, str]]:
@@ -117,7 +123,7 @@ def default_base(branches: DataFrame, by: list[str]) -> DataFrame:
 def blobs_of(tree: DataFrame, blobs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Texts of the wanted (sha, path); missing and binary ones are left out."""
     met = wanted.select("sha", "path").distinct().join(tree.select("sha", "path", "oid"), ["sha", "path"]).join(blobs.select("oid", "content"), "oid")
-    return met.filter(F.expr("position(unhex('00'), content) = 0")).select("sha", "path", F.expr("decode(content, 'utf-8')").alias("text"))
+    return met.filter(NO_NUL).select("sha", "path", lossy_text(F.col("content")).alias("text"))
 
 
 def grep_lines(texts: DataFrame, word: str, path_globs: list[str] | None = None, regex: bool = False) -> DataFrame:
@@ -143,3 +149,46 @@ def conversation(page: str) -> dict:
     comments = [{"id": c.get("id"), "author": (c.get("author") or {}).get("login"), "body": c.get("body", ""), "at": c.get("createdAt")} for c in nodes(pull.get("comments"))]
     threads = [{"id": t.get("id"), "path": t.get("path"), "line": t.get("line"), "resolved": bool(t.get("isResolved")), "comments": [{"id": c.get("id"), "body": c.get("body", ""), "at": c.get("createdAt")} for c in nodes(t.get("comments"))]} for t in nodes(pull.get("reviewThreads"))]
     return {"comments": comments, "threads": threads, "next": ((pull.get("comments") or {}).get("pageInfo") or {}).get("endCursor")}
+
+
+def load_changes(name_status_rows: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Change sets from captured name-status rows (change_set_id, base, head, status, old_path, path) and blobs (sha, path,
+    content): two left joins on revision and path. Files with a NUL on either side are left out; a missing side is empty, and
+    old_path stays with renames alone."""
+    side = lambda name: blobs.select(F.col("sha").alias(name), F.col("path").alias(f"{name}_path"), F.col("content").alias(f"{name}_content"))
+    rows = name_status_rows.withColumn("base_path", F.coalesce("old_path", "path")).withColumn("head_path", F.col("path"))
+    met = rows.join(side("base"), ["base", "base_path"], "left").join(side("head"), ["head", "head_path"], "left")
+    text = lambda name, absent: F.when(F.col("status") == absent, F.lit("")).otherwise(F.coalesce(lossy_text(F.col(f"{name}_content")), F.lit("")))
+    clean = lambda name: F.coalesce(F.expr(f"position(unhex('00'), {name}_content) = 0"), F.lit(True))
+    return met.filter(clean("base") & clean("head")).select("change_set_id", "path", F.when(F.col("status") == "R", F.col("old_path")).alias("old_path"), "status", text("base", "A").alias("old_text"), text("head", "D").alias("new_text"))
+
+
+def paths_at(tree: DataFrame, sha: str) -> DataFrame:
+    """All paths of one revision."""
+    return tree.filter(F.col("sha") == sha).select("path")
+
+
+def grep_files(texts: DataFrame, word: str, path_globs: list[str] | None = None) -> DataFrame:
+    """path of the files that hold a whole word."""
+    from ..functions.text import any_glob
+
+    rows = texts.filter(any_glob(F.col("path"), path_globs)) if path_globs else texts
+    return rows.filter(F.col("text").rlike(rf"(?<!\w)\Q{word}\E(?!\w)")).select("path")
+
+
+def branch_list(branches: DataFrame, by: list[str]) -> DataFrame:
+    """Branches by falling date, without the pointers to a default one."""
+    return branches.filter(~F.col("name").endswith("/HEAD")).orderBy(*by, F.desc("date"), "name")
+
+
+def resolved_ref(wanted: DataFrame, refs: DataFrame, remotes: list[str]) -> DataFrame:
+    """wanted (ref) with its sha: a local branch before those of the remotes, in their order; null where there is none."""
+    rank = F.coalesce(F.array_position(F.array(F.lit(""), *map(F.lit, remotes)), F.col("remote")), F.lit(0))
+    first = refs.withColumn("rank", rank).filter("rank > 0").groupBy(F.col("name").alias("ref")).agg(F.min_by("sha", "rank").alias("sha"))
+    return wanted.join(first, "ref", "left")
+
+
+def commit_rows(captured: DataFrame, column: str) -> DataFrame:
+    """Commits of a captured log whose records are sha, author, date, subject and the summary line: with their numbers."""
+    rows = log_records(captured, column, ["sha", "author", "date", "subject", "summary"])
+    return rows.withColumn("stat", shortstat(F.col("summary"))).select(*[c for c in rows.columns if c != "summary"], "stat.*")

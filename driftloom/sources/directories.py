@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .captured import NO_NUL, lossy_text
+
 
 def tree(spark: SparkSession, folder: str) -> DataFrame:
-    """path (below the folder) and text of every file."""
+    """path (below the folder) and text of every file; files with a NUL are binary and left out, bytes that aren't UTF-8 become
+    replacement characters."""
     root = folder.rstrip("/").replace("file://", "")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return rows.select(F.regexp_extract("path", r"^(?:[a-z]+:/*)?/?(.*)$", 1).alias("p"), "content").select(F.substring_index("p", root.lstrip("/") + "/", -1).alias("path"), F.expr("decode(content, 'utf-8')").alias("text"))
+    return rows.select(F.regexp_extract("path", r"^(?:[a-z]+:/*)?/?(.*)$", 1).alias("p"), "content").filter(NO_NUL).select(F.substring_index("p", root.lstrip("/") + "/", -1).alias("path"), lossy_text(F.col("content")).alias("text"))
 
 
 def changes_between(before: DataFrame, after: DataFrame, change_set_id: str) -> DataFrame:

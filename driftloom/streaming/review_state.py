@@ -46,9 +46,8 @@ def _events(frame: pd.DataFrame) -> list[dict]:
 
 def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     entry = json.loads(state.get[0]) if state.exists else {}
-    out = []
-    for frame in frames:
-        out += [{"identity": key[0], **d} for e in _events(frame) if (d := apply(entry, e))]
+    events = sorted((e for frame in frames for e in _events(frame)), key=lambda e: e["seq"])  # a key may come in several frames
+    out = [{"identity": key[0], **d} for e in events if (d := apply(entry, e))]
     state.update((json.dumps(entry),))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in DELTA.split(", ")])
 
