@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the fold.
@@ -29,3 +29,15 @@ def flagged(concerns: list[Column], primary: Column, confidence: Column) -> Colu
 
 def level(risk_col: Column, flag: Column) -> Column:
     return F.when(flag & (risk_col >= HIGH), "high").when(flag | (risk_col >= MEDIUM), "medium").otherwise("low")
+
+
+def verified_units(members: DataFrame, checks: DataFrame, by: list[str], group: list[str], unit: str, p: str = "p", least: float = FLAG_P) -> DataFrame:
+    """by, verified_units: distinct units of groups whose check says with `least` or more that they are what they look like."""
+    sure = checks.filter(clamp(F.col(p)) >= least).select(*group).distinct()
+    return members.join(sure, group, "left_semi").select(*by, unit).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("verified_units"))
+
+
+def by_role(hunks: DataFrame, role: str, roles: list[str], risk_col: str, place: str) -> DataFrame:
+    """Hunks in a fixed order of roles, then falling risk; what has no score comes last."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, roles)), F.col(role)), F.lit(0))
+    return hunks.withColumn("bucket", F.when(F.col(risk_col).isNull(), len(roles) + 1).when(rank == 0, len(roles)).otherwise(rank.cast("int") - 1)).orderBy("bucket", F.desc_nulls_last(risk_col), place)

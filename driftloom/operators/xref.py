@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import categorize, identifier_words, language
@@ -51,10 +51,20 @@ def orphan_keys(before: DataFrame, after: DataFrame) -> DataFrame:
     return missing.unionByName(unused)
 
 
-def listed(checks: DataFrame) -> DataFrame:
-    """Counts for each code, and the first checks by severity, code, path and line: the list is a report's first page."""
-    from pyspark.sql.window import Window
+#: The order of checks of one severity.
+CODES = ["dangling", "missing-key", "unused-key", "lost-key"]
 
+
+def listed(checks: DataFrame, codes: list[str] = CODES) -> DataFrame:
+    """The first checks of each change set by severity, code (in the order of codes), path and line, with their place and the
+    total: a report's first page. Ranks are cut off in the tasks before the shuffle."""
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    place = F.row_number().over(Window.partitionBy("change_set_id").orderBy(rank, "code", "path", "line"))
-    return checks.withColumn("place", place).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("change_set_id"))).filter(F.col("place") <= MOST)
+    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, codes)), F.col("code")), F.lit(0)), F.lit(len(codes) + 1))
+    total = checks.groupBy("change_set_id").agg(F.count(F.lit(1)).alias("total"))
+    top = checks.withColumn("place", F.row_number().over(Window.partitionBy("change_set_id").orderBy(rank, order, "code", "path", "line"))).filter(F.col("place") <= MOST)
+    return top.join(total, "change_set_id")
+
+
+def counts_by_code(checks: DataFrame) -> DataFrame:
+    """change_set_id, code, n: before the list is cut."""
+    return checks.groupBy("change_set_id", "code").agg(F.count(F.lit(1)).alias("n"))

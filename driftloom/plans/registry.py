@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import concepts, diff, history, inspect, moves, xref
+from ..operators import concepts, diff, history, inspect, moves, verify, xref
 from ..operators import grouping as g
 from ..operators import joins as j
 from ..operators import risk as rk
@@ -332,7 +332,7 @@ def o11_page(spark, sf):
 @query("SELECT l_orderkey AS path, l_linenumber AS no, l_discount AS risk, max(l_discount) OVER (PARTITION BY l_orderkey) AS file_risk FROM lineitem")
 def o13_risk_sort(spark, sf):
     rows = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("no"), F.col("l_discount").alias("risk"))
-    return rows.withColumn("file_risk", F.max("risk").over(Window.partitionBy("path"))).orderBy(F.desc("file_risk"), "path", F.desc("risk"), "no")
+    return v.risk_order(rows, "path", "risk", "no")
 
 
 @query("""SELECT o_orderkey AS path, CASE WHEN c = 'source' AND r > 0 AND s = 'A' THEN 1 WHEN c = 'source' AND r > 0 THEN 2 WHEN c = 'config' AND r > 0 THEN 3 WHEN c = 'tests' AND r > 0 THEN 4 WHEN c = 'docs' AND r > 0 THEN 5 WHEN r > 0 THEN 6 WHEN p THEN 8 ELSE 7 END AS layer
@@ -525,14 +525,14 @@ def a14_counts_by_code(spark, sf):
 
 @query("SELECT l_orderkey AS path, count(DISTINCT l_linenumber) AS lines, min(l_linenumber) AS first, max(l_linenumber) AS last FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1")
 def a16_changed_lines(spark, sf):
-    rows = read(spark, sf, "lineitem").filter("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("path")).agg(F.collect_set("l_linenumber").alias("s"))
-    return rows.select("path", F.size("s").cast("long").alias("lines"), F.array_min("s").alias("first"), F.array_max("s").alias("last"))
+    rows = read(spark, sf, "lineitem").filter("l_returnflag <> 'N'").withColumnRenamed("l_orderkey", "path")
+    return v.changed_lines(rows, ["path"], "l_linenumber").select("path", F.size("lines").cast("long").alias("lines"), F.get("lines", F.lit(0)).alias("first"), F.element_at("lines", -1).alias("last"))
 
 
 @query(f"WITH {GRP}, sure AS (SELECT DISTINCT cs, key FROM gm WHERE units % 5 >= 3) SELECT cs, count(DISTINCT unit) AS verified_units FROM sig JOIN sure USING (cs, key) GROUP BY cs")
 def a18_verified_units(spark, sf):
-    sure = groups_of(spark, sf).filter("units % 5 >= 3").select("cs", "key")
-    return signatures(spark, sf).join(sure, ["cs", "key"], "left_semi").groupBy("cs").agg(F.countDistinct("unit").alias("verified_units"))
+    checks = groups_of(spark, sf).select("cs", "key", F.when(F.col("units") % 5 >= 3, 0.9).otherwise(0.1).alias("p"))
+    return rk.verified_units(signatures(spark, sf), checks, ["cs"], ["cs", "key"], "unit")
 
 
 @query(f"WITH {GRP}, f AS (SELECT * FROM ex WHERE path <> '5-LOW') SELECT cs, count(*) AS units, count(*) FILTER (explained) AS explained_units, count(*) FILTER (NOT explained) AS residual_units, CAST(round_even(100.0 * count(*) FILTER (explained) / count(*), 0) AS INT) AS collapsed_pct FROM f GROUP BY cs")
@@ -542,7 +542,7 @@ def a19_filtered_stats(spark, sf):
 
 @query(f"WITH {GRP} SELECT path, count(DISTINCT hunk) AS hunks, count(DISTINCT CASE WHEN NOT explained THEN hunk END) AS open_hunks FROM ex GROUP BY path")
 def a20_explorer(spark, sf):
-    return units_of(spark, sf).groupBy("path").agg(F.countDistinct("hunk").alias("hunks"), F.countDistinct(F.when(~F.col("explained"), F.col("hunk"))).alias("open_hunks"))
+    return v.explorer(units_of(spark, sf), "path", "hunk")
 
 
 @query("SELECT o_orderkey % 100 AS stem, o_orderpriority AS path, CAST(round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 0) AS INT) AS heat FROM orders GROUP BY 1, 2")
@@ -560,15 +560,14 @@ def w9_dedup_locations(spark, sf):
 @query("SELECT o_custkey AS id, o_orderkey AS at, 'comment' AS what FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderkey, 'review' FROM orders WHERE o_orderstatus <> 'F'")
 def u10_timeline(spark, sf):
     o = read(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("at"), "o_orderstatus")
-    side = lambda cond, what: o.filter(cond).select("id", "at", F.lit(what).alias("what"))
-    return side("o_orderstatus = 'F'", "comment").unionByName(side("o_orderstatus <> 'F'", "review")).orderBy("at")
+    part = lambda cond: o.filter(cond).select("id", "at")
+    return v.timeline({"comment": part("o_orderstatus = 'F'"), "review": part("o_orderstatus <> 'F'")}, "at")
 
 
 @query("WITH s AS (SELECT o_custkey, list_sort(list_distinct(list(o_orderpriority))) AS a FROM orders GROUP BY 1) SELECT o_custkey, array_to_string(list_filter(a, lambda x: x <> '5-LOW'), ',') AS dropped, len(list_filter(a, lambda x: x NOT IN ('1-URGENT', '2-HIGH'))) = 0 AS verifiable FROM s")
 def u6_subset(spark, sf):
-    s = read(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("a"))
-    lit = lambda *x: F.array(*map(F.lit, x))
-    return s.select("o_custkey", F.array_join(F.array_except("a", lit("5-LOW")), ",").alias("dropped"), (F.size(F.array_except("a", lit("1-URGENT", "2-HIGH"))) == 0).alias("verifiable"))
+    rows = read(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("a"))
+    return rows.select("o_custkey", F.array_join(v.dropped(F.col("a"), F.array(F.lit("5-LOW"))), ",").alias("dropped"), verify.is_subset(F.col("a"), ["1-URGENT", "2-HIGH"]).alias("verifiable"))
 
 
 @query("SELECT DISTINCT l_orderkey AS sha, l_partkey AS path FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10)")
@@ -630,6 +629,124 @@ def k2_markdown(spark, sf):
     return export.markdown_summary(report(spark, sf))
 
 
+@query("""WITH l AS (SELECT 'c' || (o_orderkey % 3) AS change_set_id, CASE WHEN o_orderkey % 5 < 2 THEN 'old' ELSE 'new' END AS side, unnest(regexp_extract_all(o_orderpriority, '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM orders),
+t AS (SELECT change_set_id, count(*) AS total FROM l GROUP BY 1), n AS (SELECT change_set_id, lower(name) AS word, count(*) FILTER (side = 'old') AS o, count(*) FILTER (side = 'new') AS n FROM l GROUP BY ALL)
+SELECT change_set_id, word, round(abs(o - n) / total, 3) AS score FROM n JOIN t USING (change_set_id)""")
+def a11_concept_words(spark, sf):
+    """Word scores of the concept lens over order priorities."""
+    side = F.when(F.col("o_orderkey") % 5 < 2, "old").otherwise("new")
+    return concepts.word_scores(read(spark, sf, "orders").select(F.concat(F.lit("c"), (F.col("o_orderkey") % 3).cast("string")).alias("change_set_id"), side.alias("side"), F.col("o_orderpriority").alias("text")))
+
+
+@query("""WITH l AS (SELECT 'c' || (o_custkey % 7) AS change_set_id, 1 AS sign, unnest(regexp_extract_all(o_orderpriority, '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT 'c' || (o_custkey % 7), -1, unnest(regexp_extract_all(o_orderpriority, '[A-Za-z_$][A-Za-z0-9_$]*')) FROM orders WHERE o_orderkey % 2 = 1) SELECT change_set_id, name FROM l GROUP BY 1, 2 HAVING sum(sign) > 0""")
+def a15_deleted_names(spark, sf):
+    """Names that the changed lines lose more often than they gain."""
+    line, none = F.array(F.struct(F.col("o_orderpriority").alias("text"))), F.array().cast("array<struct<text:string>>")
+    gone = F.col("o_orderkey") % 2 == 0
+    units = read(spark, sf, "orders").select(F.concat(F.lit("c"), (F.col("o_custkey") % 7).cast("string")).alias("change_set_id"), F.col("o_orderkey").alias("unit_id"), F.lit("p").alias("path"), F.when(gone, line).otherwise(none).alias("old"), F.when(gone, none).otherwise(line).alias("new"))
+    return xref.deleted_names(units)
+
+
+CHECKS = "c AS (SELECT DISTINCT 'c' || (l_orderkey % 3) AS change_set_id, CASE l_linestatus WHEN 'F' THEN 'dangling' ELSE 'unused-key' END AS code, CASE l_returnflag WHEN 'R' THEN 'error' WHEN 'A' THEN 'warning' ELSE 'info' END AS severity, l_partkey AS path, l_linenumber AS line, 'm' AS message FROM lineitem)"
+
+
+def checks_of(spark, sf):
+    rows = read(spark, sf, "lineitem")
+    severity = F.when(F.col("l_returnflag") == "R", "error").when(F.col("l_returnflag") == "A", "warning").otherwise("info")
+    return rows.select(F.concat(F.lit("c"), (F.col("l_orderkey") % 3).cast("string")).alias("change_set_id"), F.when(F.col("l_linestatus") == "F", "dangling").otherwise("unused-key").alias("code"), severity.alias("severity"), F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("line"), F.lit("m").alias("message")).distinct()
+
+
+@query(f"WITH {CHECKS}, r AS (SELECT *, row_number() OVER (PARTITION BY change_set_id ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, code, path, line) AS place, count(*) OVER (PARTITION BY change_set_id) AS total FROM c) SELECT change_set_id, code, severity, path, line, message, place, total FROM r WHERE place <= 200")
+def o8_listed(spark, sf):
+    """The first page of checks of each change set."""
+    return xref.listed(checks_of(spark, sf)).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {CHECKS} SELECT change_set_id, code, count(*) AS n FROM c GROUP BY 1, 2")
+def a14_check_counts(spark, sf):
+    return xref.counts_by_code(checks_of(spark, sf))
+
+
+@query(f"""WITH {LINES}, w AS (SELECT DISTINCT l_orderkey AS sha, l_linenumber AS path FROM li WHERE l_returnflag = 'R') SELECT w.sha, w.path, p_name AS text FROM w JOIN li ON w.sha = l_orderkey AND w.path = l_linenumber JOIN part ON p_partkey = l_partkey""")
+def s7_read_blobs(spark, sf):
+    """Texts of the wanted (revision, path)."""
+    li = lines_of(spark, sf).select(F.col("l_orderkey").alias("sha"), F.col("l_linenumber").alias("path"), F.col("l_partkey").alias("oid"), "l_returnflag")
+    blobs = read(spark, sf, "part").select(F.col("p_partkey").alias("oid"), F.encode("p_name", "utf-8").alias("content"))
+    return captured.blobs_of(li, blobs, li.filter("l_returnflag = 'R'"))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS name, count(*) AS mentions, bool_and(l_returnflag <> 'N') AS every FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
+SELECT name, mentions FROM m WHERE mentions >= 2 AND every AND name NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O')""")
+def j16_gone_orders(spark, sf):
+    rows = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("name"), "l_linestatus", (F.col("l_returnflag") != "N").alias("changed"))
+    return j.all_changed(rows.filter("l_linestatus = 'F'"), rows.filter("l_linestatus = 'O'"), [], "name", "changed")
+
+
+@query("SELECT l_orderkey AS old, min(l_returnflag) AS new FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1")
+def j23_single_flags(spark, sf):
+    return g.unambiguous(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("old"), F.col("l_returnflag").alias("new")), [], "old", "new")
+
+
+@query("""WITH n AS (SELECT DISTINCT o_custkey AS name FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '2-HIGH'))
+SELECT name, count(*) AS total, min(o_orderkey) AS first FROM orders JOIN n ON o_custkey = name WHERE o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') GROUP BY name""")
+def j24_left_over_customers(spark, sf):
+    rows = read(spark, sf, "orders").select(F.col("o_custkey").alias("name"), "o_orderpriority", F.col("o_orderkey").alias("at"))
+    side = lambda *p: rows.filter(F.col("o_orderpriority").isin(*p))
+    got = j.left_over(side("1-URGENT").withColumnRenamed("name", "old"), side("3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), side("2-HIGH"), [], "old", "name", 50, ["at"])
+    return got.select("name", "total", F.get(F.col("locations.at"), 0).alias("first"))
+
+
+@query(f"""WITH {LINES}, d AS (SELECT l_partkey AS stream, l_orderkey % 50 AS path, l_orderkey * 10 + l_linenumber AS d_id FROM li WHERE l_returnflag = 'R'), i AS (SELECT l_partkey AS stream, l_orderkey % 50 AS path, l_orderkey * 10 + l_linenumber AS i_id FROM li WHERE l_returnflag = 'A'),
+n AS (SELECT stream, d_id, i_id FROM (SELECT *, row_number() OVER (PARTITION BY stream, path ORDER BY d_id) AS k FROM d) JOIN (SELECT *, row_number() OVER (PARTITION BY stream, path ORDER BY i_id) AS k FROM i) USING (stream, path, k)),
+f AS (SELECT stream, d_id, i_id FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY d_id) AS k FROM d WHERE (stream, d_id) NOT IN (SELECT stream, d_id FROM n)) JOIN (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY i_id) AS k FROM i WHERE (stream, i_id) NOT IN (SELECT stream, i_id FROM n)) USING (stream, k))
+SELECT stream, d_id, i_id FROM n UNION ALL SELECT stream, d_id, i_id FROM f""")
+def j4_nearest_moves(spark, sf):
+    """Equal blocks: within a file first, then across files."""
+    rows = lines_of(spark, sf).select(F.col("l_partkey").alias("stream"), (F.col("l_orderkey") % 50).alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_returnflag")
+    side = lambda flag, name: rows.filter(F.col("l_returnflag") == flag).select("stream", "path", F.col("id").alias(name))
+    return j.nearest_pairs(side("R", "d_id"), side("A", "i_id"), ["stream"], "path", ("d_id", "d_id"), ("i_id", "i_id"))
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS path FROM orders WHERE NOT regexp_matches(o_orderpriority, '^5-') AND NOT (o_orderstatus = 'F' AND o_orderkey % 3 = 0) AND (o_orderkey % 2 = 0 OR o_orderkey % 5 = 0) AND o_orderkey % 7 <> 0 AND regexp_matches(o_orderpriority, '(?i)u.?gent|high|medium')")
+def q_review_filter(spark, sf):
+    """Docs, renames, near misses, paths, concepts and a pattern at once."""
+    k = F.col("o_orderkey")
+    kinds = F.when((F.col("o_orderstatus") == "F") & (k % 3 == 0), F.array(F.lit("docs"))).otherwise(F.array(F.lit("docs"), F.lit("rename")))
+    units = read(spark, sf, "orders").select(k.alias("unit_id"), F.col("o_orderpriority").alias("path"), F.lit("").alias("text"), F.array().cast("array<string>").alias("labels"), kinds.alias("kinds"), (k % 2 == 0).alias("explained"), (k % 5 == 0).alias("near"), F.lit(False).alias("pure_rename"), k.alias("fingerprint"))
+    concept = units.filter("unit_id % 7 = 0")
+    got = v.review_filter(units, hide_docs=True, hide_renames=True, near_only=True, explained_by=concept, globs=["5-*"], search="u.?gent|high|medium", regex=True)
+    return got.select(F.col("unit_id").alias("id"), "path")
+
+
+@query("SELECT l_suppkey AS key, count(DISTINCT l_orderkey * 10 + l_linenumber) AS visible, min(l_orderkey * 10 + l_linenumber) AS place FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1")
+def o12_visible_groups(spark, sf):
+    rows = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("unit"), "l_orderkey").withColumn("place", F.col("unit"))
+    return v.visible_groups(rows, rows.filter("l_orderkey % 3 = 0"), ["key"], ["unit"], "place")
+
+
+@query("SELECT o_orderkey AS hunk, o_orderstatus = 'F' AS explained FROM orders ORDER BY explained, hunk LIMIT 300")
+def o16_chosen_hunks(spark, sf):
+    return v.chosen_hunks(read(spark, sf, "orders").select(F.col("o_orderkey").alias("hunk"), (F.col("o_orderstatus") == "F").alias("explained")), "explained", "hunk")
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 5")
+def o18_newest(spark, sf):
+    return v.newest(read(spark, sf, "events", "user_id", "event_id", "ts"), ["user_id"], "ts", "event_id", 5).drop("ts")
+
+
+@query("""WITH s AS (SELECT o_custkey AS change_set_id, o_orderkey AS path, o_orderstatus AS status, o_orderkey % 4 AS k FROM orders)
+SELECT change_set_id::VARCHAR AS change_set_id, path::VARCHAR AS path, CASE WHEN k = 0 THEN 'R' WHEN k = 1 THEN 'A' WHEN k = 2 THEN 'D' ELSE 'M' END AS status, CASE WHEN k = 0 THEN (path + 1)::VARCHAR END AS old_path, CASE WHEN k = 1 THEN '' ELSE 'base ' || CASE WHEN k = 0 THEN path + 1 ELSE path END END AS old_text, CASE WHEN k = 2 THEN '' ELSE 'head ' || path END AS new_text FROM s""")
+def s1_load_changes(spark, sf):
+    """Change sets from name-status rows and blobs."""
+    o = read(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("change_set_id"), F.lit("b").alias("base"), F.lit("h").alias("head"), F.col("o_orderkey").alias("n"))
+    k = F.col("n") % 4
+    rows = o.withColumn("path", F.col("n").cast("string")).withColumn("status", F.when(k == 0, "R").when(k == 1, "A").when(k == 2, "D").otherwise("M")).withColumn("old_path", F.when(k == 0, (F.col("n") + 1).cast("string"))).drop("n")
+    every = o.select(F.explode(F.array("n", F.col("n") + 1)).alias("n")).distinct().select(F.col("n").cast("string").alias("path"))
+    blob = lambda sha, word: every.select(F.lit(sha).alias("sha"), "path", F.encode(F.concat(F.lit(word), "path"), "utf-8").alias("content"))
+    return captured.load_changes(rows, blob("b", "base ").unionByName(blob("h", "head ")))
+
+
 def FLAGSHIP(spark: SparkSession, sf: str) -> DataFrame:
     """Which repeated edits do the change sets hold: the engine's groups."""
     return e1_groups(spark, sf)
