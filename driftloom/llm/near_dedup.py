@@ -293,14 +293,11 @@ def cross_links(nodes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame
     return strays.unionByName(members).groupBy("cluster", "i", "j").applyInArrow(lambda t: block_links(t, percent), "a long, b long")
 
 
-def with_least(edges: DataFrame, both_sides: bool = False, salts: int = 64) -> DataFrame:
-    """u, v, m: edges beside the least neighbour m of u (or u itself, if that is less and both_sides is set). The edges of a
-    node are dealt out over `salts` tasks by v, and its least neighbour goes to each of them: no hub's edges meet in one task."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    least = least.select("u", (F.least("m", "u") if both_sides else F.col("m")).alias("m"), F.explode(F.when(F.col("n") > salts, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))).alias("salt"))
-    few = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > salts).select(F.col("u").alias("hub"))
-    salted = edges.join(F.broadcast(few) if few.count() <= 100_000 else few, F.col("u") == F.col("hub"), "left").withColumn("salt", F.when(F.col("hub").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))).drop("hub")
-    return salted.join(least, ["u", "salt"]).select("u", "v", "m")
+def with_least(edges: DataFrame, both_sides: bool = False, salts: int = 8) -> DataFrame:
+    """u, v, m: edges beside the least neighbour m of u (or u itself, if that is less and both_sides is set). A node's edges
+    are dealt out over `salts` tasks by v, and its least neighbour goes to each of them, so a hub's edges don't meet in one."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", (F.least("m", "u") if both_sides else F.col("m")).alias("m"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(least, ["u", "salt"]).select("u", "v", "m")
 
 
 def components(links: DataFrame) -> DataFrame:
