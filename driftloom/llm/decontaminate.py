@@ -28,7 +28,7 @@ from xxhash import xxh3_64_intdigest
 
 from .common import as_bytes, materialise, slices
 
-WINDOW, LEAST, CACHE = 8, 13, 400_000
+WINDOW, LEAST, CACHE = 8, 13, 200_000
 EDGE = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 #: Characters of scripts written without spaces (kana, Han, Thai, Lao, Myanmar, Khmer), and their punctuation, in UTF-8.
 UNSPACED = re.compile(rb"(?:\xe3[\x81-\xbf]|[\xe4-\xe9][\x80-\xbf]|\xe0[\xb8-\xbb]|\xe1(?:[\x80-\x82]|[\x9e\x9f])|\xef[\xa4-\xab])[\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")

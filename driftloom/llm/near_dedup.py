@@ -35,7 +35,7 @@ from xxhash import xxh3_64_intdigest
 
 from .common import as_bytes, discard, documents, materialise, slices
 
-M, ROWS, BASE, CACHE, BLOCK, FILTER_BITS = 512, 7, 1.02, 400_000, 256, 26
+M, ROWS, BASE, CACHE, BLOCK, FILTER_BITS = 512, 7, 1.02, 200_000, 256, 26
 BANDS = M // ROWS
 U = np.uint64
 
