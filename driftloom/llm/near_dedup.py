@@ -266,13 +266,20 @@ def block_links(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
+def beside_cluster(nodes: DataFrame, table: DataFrame, salts: int = 16) -> DataFrame:
+    """nodes joined with a table that has a row a cluster. A cluster's nodes are dealt out over `salts` tasks, and its row goes to
+    each of them; what is grouped after that by cluster and block is dealt out anew, not by cluster alone."""
+    each = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return nodes.withColumn("_salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(each, ["cluster", "_salt"]).drop("_salt")
+
+
 def links_within(nodes: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """nodes (rep, cluster, own, regs) with the key of their block: small clusters share blocks, large ones have several.
     Also the clusters with several blocks and how many."""
     sizes = materialise(nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "clusters")
     packs = max(1, -(-(sizes.filter(F.col("n") <= block).agg(F.sum("n")).first()[0] or 0) // block))
     key = F.when(F.col("n") <= block, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / block)))
-    keyed = nodes.join(sizes, "cluster").select(F.when(F.col("n") > block, F.col("cluster")).alias("large"), key.alias("i"), "rep", "own", "regs")
+    keyed = beside_cluster(nodes, sizes).select(F.when(F.col("n") > block, F.col("cluster")).alias("large"), key.alias("i"), "rep", "own", "regs")
     return keyed, sizes.filter(F.col("n") > block)
 
 
@@ -285,7 +292,7 @@ def cross_links(nodes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame
     parts = nodes.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_ = parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max("n").alias("most"))
     open_ = open_.filter("comps > 1").select("cluster", "main", F.ceil((F.col("n") - F.col("most")) / block).alias("sb"), F.ceil(F.col("n") / block).alias("mb"))
-    rows = nodes.join(open_, "cluster")
+    rows = beside_cluster(nodes, open_)
     at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     own = ["cluster", "rep", "comp", "own", "regs"]
     strays = rows.filter("comp <> main").select(*own, F.lit(0).alias("role"), at("sb").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1)).alias("j"))
@@ -345,7 +352,7 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 80, block: int =
     links = materialise(keyed.groupBy("large", "i").applyInArrow(lambda t: block_links(t, percent), "a long, b long"), "links")
     comp = components(links)
     if large.head(1):
-        wide = nodes.join(large.select("cluster"), "cluster").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        wide = beside_cluster(nodes, large.select("cluster")).join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         more = materialise(cross_links(wide, percent, block), "links")
         comp = components(links.union(more)) if more.head(1) else comp
     class_of = classes.select("set_key", "rep").join(comp, classes.rep == comp.node, "left").select("set_key", F.coalesce("comp", "rep").alias("component_id"))
