@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, materialise, scratch_dir
 
-__all__ = ["as_bytes", "ascii_lower", "bucket_of", "discard", "documents", "materialise", "scratch_dir", "share_by_hash", "slices", "table"]
+__all__ = ["as_bytes", "ascii_lower", "bucket_of", "discard", "documents", "materialise", "meet", "scratch_dir", "share_by_hash", "slices", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,3 +57,17 @@ def share_by_hash(df: DataFrame, rows: int, *keys: str, of: int | None = None) -
     together: keys should be distinct. of: the number of rows, if it is known."""
     n = df.count() if of is None else of
     return df if n <= rows else df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+
+
+def meet(many: DataFrame, one: DataFrame, on: str | list[str], rows: int, left: bool = False) -> DataFrame:
+    """many joined with one, which is unique on `on`. Keys that hold more than a thousandth of `rows` rows (fewer than a thousand
+    keys, which go to the tasks) are dealt out over so many parts as they hold thousandths, so that no key's rows meet in one task."""
+    on = [on] if isinstance(on, str) else on
+    part = max(1000, rows // 1000)
+    hot = many.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > part) & F.col(on[0]).isNotNull()).select(*on, F.ceil(F.col("_n") / part).cast("int").alias("_parts"))
+    hot = materialise(hot, "hot")
+    if not hot.head(1):
+        return many.join(one, on, "left" if left else "inner")
+    salted = many.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.floor(F.rand(7) * F.col("_parts")).cast("int"))).drop("_parts")
+    dealt = one.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return salted.join(dealt, [*on, "_salt"], "left" if left else "inner").drop("_salt")
