@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, embedding_dedup, exact_dedup, license_scan, line_dedup, near_dedup, quality, suffix_tree_lm, toxicity, whitening
+from . import byte_bpe, chat_format, decontaminate, embedding_dedup, exact_dedup, lexical_search, license_scan, line_dedup, near_dedup, quality, suffix_tree_lm, toxicity, whitening
 from .common import table
 
 BPE = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -58,9 +58,13 @@ def op11_embedding_dedup(spark, sf_dir):
     return embedding_dedup.linked_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op12_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_whitening(spark, sf_dir):
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix_tree_lm, op3_toxicity, op4_exact_dedup, op5_byte_bpe, op6_chat_format, op7_near_dedup, op8_line_dedup, op9_license_scan, op10_decontaminate, op11_embedding_dedup, op13_whitening)}
-SQL = {"op4_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_suffix_tree_lm, op3_toxicity, op4_exact_dedup, op5_byte_bpe, op6_chat_format, op7_near_dedup, op8_line_dedup, op9_license_scan, op10_decontaminate, op11_embedding_dedup, op12_lexical_search, op13_whitening)}
+SQL = {"op4_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL, "op12_lexical_search": lexical_search.SQL}
