@@ -163,3 +163,8 @@ def module_stems(path: str) -> list[str]:
 
 def last_segment(path: str) -> str:
     return re.sub(r"\.(d\.ts|[mc]?[jt]sx?)$", "", path.rsplit("/", 1)[-1])
+
+
+def ascii_words(text: Column) -> Column:
+    """What ASCII white space parts; null text has no words."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))
