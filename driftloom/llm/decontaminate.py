@@ -7,7 +7,8 @@ same windows. Where a sentence begins isn't known of a text that stands behind o
 ways, and each way is matched on its own: capitalised words at a sentence's begin as plain words, as <name> like all
 others, and all tokens as plain words, values included. They are hash-joined with the benchmark's. Windows of one document that lie on one alignment with one
 item are then put together: their slots have to map each of the item's values to one value of the document; where
-they don't, only windows with the item's own values count. A pair is reported where enough of the item is covered.
+they don't, only windows with the item's own values count. Where a window is mostly slots it tells too little, so the item's windows of twice the length are
+looked for, which have to hold a word and another word or name. A pair is reported where enough of the item is covered.
 
 The benchmark is looked at once. Up to `filter_bound` window hashes (8 bytes each) its hashes go to the tasks, which
 then send on only windows that hit; beyond that all windows go through the shuffled join, with the same result.
@@ -28,7 +29,7 @@ from xxhash import xxh3_64_intdigest
 
 from .common import as_bytes, materialise, slices
 
-WINDOW, LEAST, CACHE = 8, 13, 200_000
+WINDOW, WIDE, LEAST, CACHE = 8, 16, 13, 200_000
 EDGE = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 #: Characters of scripts written without spaces (kana, Han, Thai, Lao, Myanmar, Khmer), and their punctuation, in UTF-8.
 UNSPACED = re.compile(rb"(?:\xe3[\x81-\xbf]|[\xe4-\xe9][\x80-\xbf]|\xe0[\xb8-\xbb]|\xe1(?:[\x80-\x82]|[\x9e\x9f])|\xef[\xa4-\xab])[\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
@@ -99,6 +100,11 @@ def canonical(text: bytes, words: Words) -> tuple[list[bytes], list[tuple[np.nda
 
 
 def window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each window; one over more than WINDOW tokens is made of those of its first and its last WINDOW."""
+    if width > WINDOW:
+        base, n = window_hashes(tokens, WINDOW), max(0, len(tokens) - width + 1)
+        total = base[:n] * np.uint64(0xC2B2AE3D27D4EB4F) + base[width - WINDOW :] + np.uint64(width)
+        return total ^ (total >> np.uint64(29))
     n = len(tokens) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -116,6 +122,14 @@ def literal_enough(slot: np.ndarray, width: int) -> np.ndarray:
     return 2 * (total[width:] - total[:-width]) >= width
 
 
+def wide_enough(tokens: np.ndarray, slot: np.ndarray, width: int) -> np.ndarray:
+    """Windows with a word and another word or name, and not mostly names: what a question that is nearly all numbers is told by, over more
+    than WINDOW tokens. (Its first word is a name where all capitalised ones are.)"""
+    sums = [np.concatenate(([0], np.cumsum(x))) for x in (~slot, tokens == np.uint64(TYPED[CAPITAL]))]
+    words, names = (x[width:] - x[:-width] for x in sums)
+    return (words >= 1) & (words + names >= 2) & (2 * names <= width)
+
+
 class Known:
     """Membership of sorted hashes, by a bit table first."""
 
@@ -140,7 +154,7 @@ SCHEMA = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("width", pa.int32(
 
 def windows(rows: DataFrame, widths: list[int] | None, known: np.ndarray | None, least: int = 5) -> DataFrame:
     """Windows of (id, text). widths None: each text has windows of WINDOW tokens, or all its tokens where it has
-    fewer; with slots only where these are at least `least`. known: only windows with these hashes."""
+    fewer; with slots only where these are at least `least`; and, where slots prevail in a window, of WIDE tokens (or all) too. known: only windows with these hashes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, table = Words(), Known(known) if known is not None else None
@@ -149,6 +163,8 @@ def windows(rows: DataFrame, widths: list[int] | None, known: np.ndarray | None,
             for doc, text in zip(batch.column("id").to_pylist(), as_bytes(batch, "text"), strict=True):
                 seen, readings = canonical(text, words)
                 own = widths if widths is not None else [min(WINDOW, len(seen))] if seen else []
+                if widths is None and len(seen) > WINDOW and not all(literal_enough(slot, WINDOW).all() for _, slot in readings):
+                    own = [*own, min(WIDE, len(seen))]
                 for width, (reading, (tokens, slot)) in product(own, enumerate(readings)):
                     if width > len(tokens) or width < least and reading < PLAIN_READING:
                         continue
@@ -156,7 +172,8 @@ def windows(rows: DataFrame, widths: list[int] | None, known: np.ndarray | None,
                     at = table.find(h) if table is not None else np.arange(len(h))
                     if not len(at):
                         continue
-                    at = at[literal_enough(slot, width)[at]]
+                    fit = literal_enough(slot, width) if width <= WINDOW else wide_enough(tokens, slot, width)
+                    at = at[fit[at]]
                     for p, x in zip(at.tolist(), h[at].astype(np.int64).tolist(), strict=True):
                         slots = [folded(seen[p + i])[1].decode("utf-8", "replace") for i in np.flatnonzero(slot[p : p + width]).tolist()]
                         out.append((doc, p, width, reading, x, slots, len(tokens)))
@@ -173,8 +190,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, filt
     """Returns one row for each document and benchmark item that it holds: doc_id, item_id, n_windows, covered, item_tokens.
 
     covered is the number of the item's tokens that consistent windows cover; a pair is returned from
-    min(least, item_tokens) on. Items of fewer than five tokens, and windows that are mostly slots, match with their
-    own values alone. Items without a token match nothing. Null
+    min(least, item_tokens) on. Items of fewer than five tokens, and items of eight or fewer that are mostly slots, match with their
+    own values alone; where slots prevail in longer ones, windows of sixteen tokens (or the whole item) decide. Items without a token match nothing. Null
     texts and ids match nothing; rows that repeat an id are one document; repeated items are reported under their
     ids, and where windows lie on several alignments with one item, what any of them covers counts. Very long texts are read
     whole. An empty table on either side gives no rows."""

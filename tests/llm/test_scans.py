@@ -1,3 +1,4 @@
+import random
 import re
 import unicodedata
 
@@ -110,6 +111,20 @@ def test_leaks_of_values_and_short_items(spark):
     assert leaks(spark, bench, docs) == {(1, 1): 15, (2, 2): 3, (3, 3): 18, (6, 5): 11}
 
 
+def test_leaks_of_questions_that_are_nearly_all_numbers(spark):
+    """The same question with other numbers is found in nine of ten at least; other questions and rows of numbers aren't."""
+    rng = random.Random(8)
+    forms = ["Compute {} + {} + {} + {} and then {} + {} + {} + {} equals {}", "What is {} * {} + {} - {} / {} * {} + {} - {} = ?", "Solve for {} {} {} {} {} {} {} or give {} {} {}", "Sort {} {} {} {} then {} {} {} {} {}"]
+    fill = lambda form: re.sub(r"\{\}", lambda _: str(rng.randint(2, 9999)), form)
+    bench = [(k, fill(forms[k % 4])) for k in range(40)]
+    docs = [(100 + k, f"some text stands here, {fill(forms[k % 4])} and goes on") for k in range(40)]
+    clean = [(500, " ".join(str(rng.randint(1, 99)) for _ in range(300))), (501, "What is 3 to you? Compute it and then rest."), (502, "Sort the 5 boxes by 7 then by 9 and 4 and 11 and 12")]
+    got = leaks(spark, bench, docs + clean)
+    # items of one form are one question: a document with it holds them all where its values can stand for theirs
+    found = {d for d, i in got if d < 500 and i % 4 == d % 4}
+    assert len(found) >= 36 and not [d for d, _ in got if d >= 500] and not [1 for d, i in got if d % 4 != i % 4]
+
+
 def test_leaks_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(table(spark, LEAKS), none).count() == 0
