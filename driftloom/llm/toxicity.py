@@ -8,8 +8,9 @@ by a logistic regression that is fitted on a part of the sample that the network
 
 A document's label says only that some window is toxic, so training repeats: choose each document's most toxic window
 by the present model (by the log odds at first), then take Adam steps on those. It takes a bounded sample: at most
-`sample_rows` toxic and three times as many other labelled rows, whole up to `sample_bytes`, and of longer texts one part of
-that size, picked by a hash of the id. The model has a fixed size.
+`sample_rows` toxic and three times as many other labelled rows. Texts up to `sample_bytes` are sent whole. Longer ones are cut into windows in
+the tasks, and those of highest log odds (counted over the whole sample, in the tasks too) are sent up to that size: the windows that
+training chooses from, wherever in the text they stand. The model has a fixed size.
 
 Word vectors times input weights are computed once for each distinct word of a task and looked up after that.
 """
@@ -323,6 +324,54 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 9, batch: int = 256,
     return net
 
 
+def likeliest(text: bytes, odds: np.ndarray, most: int) -> bytes:
+    """The windows of a text whose two likeliest words have the highest log odds, in their order, up to `most` bytes."""
+    words = words_of(text)
+    if not words:
+        return b""
+    value = odds[word_features(words)[0]]
+    starts = window_starts(len(words))
+    best = [np.sort(value[s : s + T])[-2:].sum() for s in starts]
+    keep, size = np.zeros(len(words), bool), 0
+    for k in sorted(range(len(starts)), key=lambda k: (-best[k], k)):
+        fresh = [i for i in range(starts[k], min(len(words), starts[k] + T)) if not keep[i]]
+        size += sum(len(words[i]) + 1 for i in fresh)
+        if size > most and keep.any():
+            break
+        keep[fresh] = True
+    return b" ".join(w for w, k in zip(words, keep, strict=True) if k)
+
+
+def sent_windows(sample: DataFrame, most: int) -> DataFrame:
+    """doc_id, y, text (binary) of the sample: whole texts up to `most` bytes, of longer ones the likeliest windows."""
+    long_ones = F.octet_length("text") > most
+    whole = sample.filter(~long_ones).select("doc_id", "y", F.encode("text", "utf-8").alias("text"))
+    if not sample.filter(long_ones).head(1):
+        return whole
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, WORD_SPACE), np.int64)
+        for batch in slices(batches, 128, 1 << 20):
+            for y, text in zip(batch.column("y").to_pylist(), as_bytes(batch, "text"), strict=True):
+                if words := list(set(words_of(text))):
+                    total[y][np.unique(word_features(words)[0])] += 1
+        y, bucket = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "n": pa.array(total[y, bucket], pa.int64())})
+
+    n = np.zeros((2, WORD_SPACE))
+    for r in sample.select("y", "text").mapInArrow(count, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).collect():
+        n[r["y"], r["bucket"]] = r["n"]
+    total = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    odds = (np.log((n[1] + 0.5) / (total.get(1, 0) + 1)) - np.log((n[0] + 0.5) / (total.get(0, 0) + 1))).astype(f32)
+    held = sample.sparkSession.sparkContext.broadcast(odds)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 128, 1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([likeliest(t, held.value, most) for t in as_bytes(batch, "text")], pa.binary())], names=["doc_id", "y", "text"])
+
+    return whole.unionByName(sample.filter(long_ones).select("doc_id", "y", "text").mapInArrow(choose, "doc_id long, y int, text binary"))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample_rows: int = 1500, sample_bytes: int = 65_536, folds: int = 5) -> DataFrame:
     """Returns one row per row of docs: doc_id, held_out, score (0 to 1), predicted.
 
@@ -338,12 +387,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, s
     picked = [r for y in (0, 1) for r in share_by_hash(fits.filter(F.col("y") == y), sample_rows * (1 if y else 3), "doc_id").collect()]
     chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, y int"))  # about 4 * sample_rows ids at most
     # a document whose rows repeat is one row of the sample
-    parts = F.ceil(F.octet_length("text") / sample_bytes).cast("int")
-    size = F.ceil(F.char_length("text") / parts).cast("int")
-    part = F.when(parts > 1, F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id"), parts) * size + 1).cast("int"), size)).otherwise(F.col("text"))
-    sample = rows.join(chosen, "doc_id").select("doc_id", "y", part.alias("text")).groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    sample = materialise(rows.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "toxic-sample")
+    sample = sent_windows(sample, sample_bytes).collect()
     sample.sort(key=lambda r: (r.doc_id, r.text, r.y))
-    net = spark.sparkContext.broadcast(fit_network([r.text.encode("utf-8", "replace") for r in sample], np.array([r.y for r in sample], f32)))
+    net = spark.sparkContext.broadcast(fit_network([bytes(r.text) for r in sample], np.array([r.y for r in sample], f32)))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -231,3 +231,13 @@ def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.score_toxicity(table(spark, [(1, "a b")]), none).collect()] == [0.5]
     assert toxicity.score_toxicity(table(spark, []), none).count() == 0
+
+
+def test_the_toxic_window_of_a_long_text_is_sent_wherever_it_stands(spark):
+    filler = [" ".join(f"plain{k % 97}" for k in range(i, i + 400)) for i in range(30)]
+    rows = [(k, (filler[k] if k % 2 else filler[k][: 90 * k] + " vile slur here " + filler[k][90 * k :]), 1 - k % 2) for k in range(30)] + [(90, "", 0), (91, None, 1)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, y int").fillna("", ["text"])
+    got = {r.doc_id: bytes(r.text) for r in toxicity.sent_windows(sample, 600).collect()}
+    assert len(got) == 32 and all(len(t) <= 600 for t in got.values()) and all(b"vile slur" in got[k] for k in range(0, 30, 2))
+    whole = {r.doc_id: bytes(r.text).decode() for r in toxicity.sent_windows(sample, 10_000).collect()}
+    assert whole == {k: t or "" for k, t, _ in rows}
