@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +46,10 @@ TYPED = {NUM: 0x9E3779B97F4A7C10, UNIT: 0xC2B2AE3D27D4EB50, CAPITAL: 0x165667B19
 
 def folded(word: bytes) -> tuple[str, bytes]:
     """The word without outer punctuation, composed, and its folded form; bytes that aren't UTF-8 stay as they are."""
-    bare = unicodedata.normalize("NFC", word.strip(EDGE).decode("utf-8", "surrogateescape"))
+    word = word.strip(EDGE)
+    if word.isascii():  # composed already, and folding is lower-casing
+        return word.decode("ascii"), word.lower()
+    bare = unicodedata.normalize("NFC", word.decode("utf-8", "surrogateescape"))
     return bare, unicodedata.normalize("NFC", bare.casefold()).encode("utf-8", "surrogateescape")
 
 
@@ -60,7 +62,7 @@ class Words(dict):
         if not bare:
             value = flags | EMPTY
         else:
-            if NUMBER.fullmatch(low) or low in NUMBER_WORDS:
+            if low[0] < 58 and NUMBER.fullmatch(low) or low in NUMBER_WORDS:  # a number begins with a digit or a sign before ':'
                 flags |= NUM
             elif low in UNITS:
                 flags |= UNIT
@@ -99,19 +101,18 @@ def canonical(text: bytes, words: Words) -> tuple[list[bytes], list[tuple[np.nda
     return seen, readings
 
 
-def window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each window; one over more than WINDOW tokens is made of those of its first and its last WINDOW."""
+def window_hashes(tokens: np.ndarray, width: int, short: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each window, along the last axis; one over more than WINDOW tokens is made of those of its first and its last
+    WINDOW (short, if they are known)."""
+    n = max(0, tokens.shape[-1] - width + 1)
     if width > WINDOW:
-        base, n = window_hashes(tokens, WINDOW), max(0, len(tokens) - width + 1)
-        total = base[:n] * np.uint64(0xC2B2AE3D27D4EB4F) + base[width - WINDOW :] + np.uint64(width)
+        short = window_hashes(tokens, WINDOW) if short is None else short
+        total = short[..., :n] * np.uint64(0xC2B2AE3D27D4EB4F) + short[..., width - WINDOW :] + np.uint64(width)
         return total ^ (total >> np.uint64(29))
-    n = len(tokens) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.full(n, width, np.uint64)
-    for k in range(width):
+    total = np.full((*tokens.shape[:-1], n), width, np.uint64)
+    for k in range(width if n else 0):
         total *= np.uint64(0x9FB21C651E98DF25)
-        total += tokens[k : k + n]
+        total += tokens[..., k : k + n]
         total ^= total >> np.uint64(29)
     return total
 
@@ -165,18 +166,27 @@ def windows(rows: DataFrame, widths: list[int] | None, known: np.ndarray | None,
                 own = widths if widths is not None else [min(WINDOW, len(seen))] if seen else []
                 if widths is None and len(seen) > WINDOW and not all(literal_enough(slot, WINDOW).all() for _, slot in readings):
                     own = [*own, min(WIDE, len(seen))]
-                for width, (reading, (tokens, slot)) in product(own, enumerate(readings)):
-                    if width > len(tokens) or width < least and reading < PLAIN_READING:
+                n, every = len(seen), np.stack([tokens for tokens, _ in readings])  # all readings at once
+                short = window_hashes(every, WINDOW) if max(own, default=0) >= WINDOW else None
+                for width in own:
+                    if width > n:
                         continue
-                    h = window_hashes(tokens, width)
+                    h = (short if width == WINDOW else window_hashes(every, width, short)).ravel()
                     at = table.find(h) if table is not None else np.arange(len(h))
                     if not len(at):
                         continue
-                    fit = literal_enough(slot, width) if width <= WINDOW else wide_enough(tokens, slot, width)
-                    at = at[fit[at]]
-                    for p, x in zip(at.tolist(), h[at].astype(np.int64).tolist(), strict=True):
-                        slots = [folded(seen[p + i])[1].decode("utf-8", "replace") for i in np.flatnonzero(slot[p : p + width]).tolist()]
-                        out.append((doc, p, width, reading, x, slots, len(tokens)))
+                    reading, place = np.divmod(at, n - width + 1)
+                    if width < least:
+                        fit = reading == PLAIN_READING
+                    else:
+                        fit = np.zeros(len(at), bool)
+                        for r in np.unique(reading).tolist():
+                            tokens, slot = readings[r]
+                            own_fit = literal_enough(slot, width) if width <= WINDOW else wide_enough(tokens, slot, width)
+                            fit[reading == r] = own_fit[place[reading == r]]
+                    for r, p, x in zip(reading[fit].tolist(), place[fit].tolist(), h[at[fit]].astype(np.int64).tolist(), strict=True):
+                        slots = [folded(seen[p + i])[1].decode("utf-8", "replace") for i in np.flatnonzero(readings[r][1][p : p + width]).tolist()]
+                        out.append((doc, p, width, r, x, slots, n))
                         if len(out) >= 20_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
                             out = []
