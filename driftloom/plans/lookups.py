@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import variants
-from ..operators import palette, postings
+from ..operators import concepts, palette, postings
 from ..sources import snapshots
 from ..streaming import decoders, drafts
 from .registry import query, read
@@ -111,3 +111,16 @@ def t9_draft_changes(spark, sf):
     k = F.col("event_id")
     kind = F.when(k % 10 < 6, "add").when(k % 10 < 8, "edit").when(k % 10 < 9, "discard").otherwise(F.when(k % 100 == 99, "clear").otherwise("edit"))
     return drafts.replayed(ev.select(F.col("user_id").cast("string").alias("draft"), k.alias("seq"), "ts", kind.alias("kind"), F.concat(F.lit("d"), (k % 7 + 1).cast("string")).alias("id"), F.col("event_type").alias("path"), (k % 50).cast("int").alias("line"), F.concat(F.lit("note "), k.cast("string")).alias("body"), F.lit("h").alias("head")))
+
+
+@query("""WITH g AS (SELECT p_brand AS cs, p_name AS nm, p_size AS sz, p_type AS ty, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL), k AS (SELECT *, nm || ' <num> <str>' AS pattern, regexp_extract(nm, '[a-z]+$') AS stem FROM g),
+m AS (SELECT cs, stem, pattern, count(*) AS groups, min(first) AS first_group, sum(n)::BIGINT AS units FROM k GROUP BY ALL)
+SELECT cs, stem, pattern, groups, first_group, units, row_number() OVER (PARTITION BY cs, stem ORDER BY units DESC, pattern) AS place FROM m""")
+def a13_concept_patterns(spark, sf):
+    """Groups of parts by name, size and type, merged where only the size and the type differ."""
+    p = read(spark, sf, "part").groupBy(F.col("p_brand").alias("change_set_id"), "p_name", "p_size", "p_type").agg(F.count(F.lit(1)).alias("count"), F.min("p_partkey").alias("place"))
+    key = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"), F.concat(F.lit('"'), "p_type", F.lit('"')))
+    groups = p.select("change_set_id", F.col("place").alias("group_id"), key.alias("key"), F.col("p_name").alias("label"), F.lit("").alias("old"), F.lit("").alias("new"), "count", F.lit(True).alias("mechanical"), "place")
+    stems = p.select("change_set_id", F.regexp_extract("p_name", "[a-z]+$", 0).alias("stem")).distinct()
+    got = concepts.patterns(groups, stems)
+    return got.select(F.col("change_set_id").alias("cs"), "stem", "pattern", F.size("group_ids").cast("long").alias("groups"), F.get("group_ids", 0).alias("first_group"), "units", F.col("place").cast("long").alias("place"))

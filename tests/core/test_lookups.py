@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.functions import variants
-from driftloom.operators import palette, postings
+from driftloom.operators import concepts, palette, postings
 from driftloom.operators.views import fuzzy_score
 from driftloom.sources import snapshots
 from driftloom.streaming import decoders
@@ -138,3 +138,10 @@ def test_snapshot_source_opens_matching_batches_alone(spark, tmp_path):
     assert opened == hold and len(opened) < len(lines) / 3
     assert few.rdd.getNumPartitions() == len(opened)
     assert df.filter("revision = 'none'").count() == 0
+
+
+def test_patterns_merge_groups_that_differ_in_literals(spark):
+    rows = [("c", "g1", 'log("a")\x00user', 'log "a" → user', "x", "userName", 3, True, 2), ("c", "g2", 'log("b")\x00user', 'log "b" → user', None, "", 4, True, 1), ("c", "g3", "n 12 users", "n 12", "users", "", 7, True, 3), ("c", "g4", "user", "user", "", "", 9, False, 0), ("d", "g5", "user", "user", "", "", 1, True, 0)]
+    groups = spark.createDataFrame(rows, "change_set_id string, group_id string, key string, label string, old string, new string, count long, mechanical boolean, place int")
+    got = concepts.patterns(groups, spark.createDataFrame([("c", "user"), ("c", "user"), ("c", "none")], "change_set_id string, stem string")).collect()
+    assert sorted((r.pattern, r.label, r.group_ids, r.units, r.place) for r in got) == [("log(<str>)\x00user", "log <str> → user", ["g2", "g1"], 7, 1), ("n <num> users", "n <num>", ["g3"], 7, 2)]
