@@ -34,8 +34,8 @@ def islands(rows: DataFrame, by: list[str], order: list[str], flag: str) -> Data
 
 
 def merged_ranges(rows: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Ranges that touch or overlap, joined."""
-    w = Window.partitionBy(*by).orderBy(start, end)
+    """Ranges that touch or overlap, joined. Ranges without an end come last of those with their start and are joined with them; ranges without a start are each one."""
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("_n", F.when(F.col(start) <= reach, 0).otherwise(1))
     numbered = marked.withColumn("_g", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
