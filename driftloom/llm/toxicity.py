@@ -29,7 +29,7 @@ from .common import as_bytes, bucket_of, documents, materialise, share_by_hash,
 T, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 32, 24, 8, 6, 8
 WORD_SPACE, CHAR_SPACE, CACHE = 1 << 15, 1 << 17, 150_000
 INPUT = WORD_DIM + CHAR_DIM + 2
-BLOCK = 4096
+BLOCK, PART = 4096, 20_000
 SPACES = bytes(c if chr(c).isalnum() and c < 128 or c > 127 else 32 for c in range(256))
 f32 = np.float32
 
@@ -66,6 +66,13 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return (whole >> np.uint64(49)).astype(np.int64), grams, begin
 
 
+def all_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_features() of many words, a part at a time: what it holds meanwhile is many times its result."""
+    done = [word_features(words[at : at + PART]) for at in range(0, max(1, len(words)), PART)]
+    before = np.cumsum([0, *(len(g) for _, g, _ in done)])
+    return np.concatenate([w for w, _, _ in done]), np.concatenate([g.astype(np.int32) for _, g, _ in done]), np.concatenate([b + n for (_, _, b), n in zip(done, before[:-1], strict=True)])
+
+
 def window_starts(n: int) -> list[int]:
     """Starts of overlapping windows that cover n words; the last may be shorter."""
     return list(range(0, max(1, n - (T - STRIDE)), STRIDE))
@@ -96,6 +103,16 @@ class Net:
         odds = np.maximum.reduceat(self.char_odds[grams], begin)
         return np.concatenate((self.p["word"][word], chars, self.word_odds[word][:, None], odds[:, None]), axis=1).astype(f32)
 
+    def all_vectors(self, features: tuple) -> np.ndarray:
+        """vectors() of many words, a part at a time: the n-grams' vectors are much larger than the words'."""
+        word, grams, begin = features
+        ends = np.append(begin, len(grams))
+        out = np.empty((len(word), INPUT), f32)
+        for at in range(0, len(word), PART):
+            to = min(len(word), at + PART)
+            out[at:to] = self.vectors((word[at:to], grams[ends[at] : ends[to]], begin[at:to] - ends[at]))
+        return out
+
     def run(self, xf: np.ndarray, xb: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits from projected inputs (windows, T, 3 HIDDEN). keep: also what backward() needs."""
         n, states, trace = len(mask), np.empty((len(mask), T, 2 * HIDDEN), f32), {"f": [], "b": []}
@@ -265,7 +282,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 9, batch: int = 256,
         return net
     number: dict[bytes, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
-    feats = word_features(list(number))
+    feats = all_features(list(number))
     learn_odds(net, feats, docs, y)
     word, grams, begin = feats
     stops = np.append(begin[1:], len(grams))
@@ -318,7 +335,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 9, batch: int = 256,
                 hit = np.unique(index)
                 squares[name][hit] += (total[hit] ** 2).mean(1)
                 net.p[name][hit] -= (0.05 * total[hit] / np.sqrt(squares[name][hit])[:, None]).astype(f32)
-        table = np.concatenate((net.vectors(feats), np.zeros((1, INPUT), f32)))
+        table = np.concatenate((net.all_vectors(feats), np.zeros((1, INPUT), f32)))
         pf, pb = table @ net.p["Wf"] + net.p["cf"], table @ net.p["Wb"] + net.p["cb"]
         judged = np.concatenate([net.run(pf[ids[i : i + BLOCK]], pb[ids[i : i + BLOCK]], ids[i : i + BLOCK] < pad) for i in range(0, len(ids), BLOCK)])
     return net
@@ -390,7 +407,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, s
     sample = materialise(rows.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "toxic-sample")
     sample = sent_windows(sample, sample_bytes).collect()
     sample.sort(key=lambda r: (r.doc_id, r.text, r.y))
-    net = spark.sparkContext.broadcast(fit_network([bytes(r.text) for r in sample], np.array([r.y for r in sample], f32)))
+    texts, y = [bytes(r.text) for r in sample], np.array([r.y for r in sample], f32)
+    del sample, picked
+    net = spark.sparkContext.broadcast(fit_network(texts, y))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
