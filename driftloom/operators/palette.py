@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialise
 
 
+#: Fixed value: how many parts each letter's titles are dealt out to.
+PARTS = 16
+
+
 def letters(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), ""), lambda c: (c != "") & (c != " "))
 
@@ -53,7 +57,9 @@ def best_titles(queries: DataFrame, titles: DataFrame, top: int = 50) -> DataFra
     signs = F.size(F.filter("chars", lambda c: c.rlike("[^a-z0-9]")))
     starts = F.least(n, F.col("starts"))
     bound = n + 3 * starts + 2 * (n - starts) + 2 * F.least(signs + 0, starts) - F.char_length("low") / 100
-    met = rarest.withColumn("need", mask(F.col("chars"))).join(posted, "c").filter(F.col("need").bitwiseAND(F.bitwise_not("mask")) == 0)
+    # postings are many more than Spark takes them for: a shuffled join, whose letters are dealt out
+    asking = rarest.withColumn("need", mask(F.col("chars"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    met = asking.join(posted.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).hint("merge"), ["c", "part"]).filter(F.col("need").bitwiseAND(F.bitwise_not("mask")) == 0)
     met = materialise(met.select("query", "chars", "id", "title", "low", bound.alias("bound")), "titles")
     by = Window.partitionBy("query")
     order = lambda s: by.orderBy(F.desc(s), "title", "id")
