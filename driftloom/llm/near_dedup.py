@@ -15,8 +15,9 @@ probability close to their Jaccard similarity, so bands of registers find candid
               likelihood of (registers above, equal, below) over all similarities set pairs aside where the threshold
               is less likely than the best fit by e^18; the rest is verified on full sets. Links that join components leave.
 6. across     components of links by alternating min-label steps. In clusters of several blocks, documents outside the
-              largest component are compared with all members, in pairs of blocks. So no link between different texts
-              that share a band is lost, and no pair of a large group becomes a row.
+              largest component are compared with all members, in pairs of blocks; where a cluster hangs together by buckets much
+              smaller than itself, this goes bucket by bucket. So no link between different texts that share a band is lost,
+              and no pair of a large group becomes a row.
 
 73 bands of seven registers: a pair at the threshold 0.8 shares none with probability (1 - 0.8^7)^73, below 4e-8; one at 0.5
 shares one with 0.44, at 0.4 with 0.11, at 0.3 with 0.02.
@@ -36,6 +37,7 @@ from xxhash import xxh3_64_intdigest
 from .common import as_bytes, discard, documents, materialise, slices
 
 M, ROWS, BASE, CACHE, BLOCK, FILTER_BITS = 512, 7, 1.02, 200_000, 256, 26
+PAIRS = 200_000  # held at once in a block
 BANDS = M // ROWS
 U = np.uint64
 
@@ -236,13 +238,9 @@ def block_links(group: pa.Table, percent: int) -> pa.Table:
             x = root[x]
         return x
 
-    links, pairs = [], []
-    for b in range(len(rep)) if role is None else np.flatnonzero(role == 1).tolist():
-        near = np.flatnonzero((100 * np.minimum(size[strays], size[b]) >= percent * np.maximum(size[strays], size[b])) & (comp[strays] != comp[b]) & ((strays < b) | (role is not None)))
-        if len(near):
-            up, down = (regs[strays[near]] > regs[b]).sum(1), (regs[strays[near]] < regs[b]).sum(1)
-            pairs.append((near, np.full(len(near), b), up, down))
-    if pairs:
+    links: list[tuple[int, int]] = []
+
+    def decide(pairs: list[tuple[np.ndarray, ...]]) -> None:
         near, of, up, down = (np.concatenate(c) for c in zip(*pairs, strict=True))
         # sets smaller than the sketch repeat few elements over all registers: the likelihood doesn't hold for them;
         # and registers that agree as often as the threshold need no estimate
@@ -263,6 +261,19 @@ def block_links(group: pa.Table, percent: int) -> pa.Table:
                 if x != y:
                     root[max(x, y)] = min(x, y)
                     links.append((int(rep[strays[k]]), int(rep[b])))
+
+    pairs, waiting = [], 0
+    for b in range(len(rep)) if role is None else np.flatnonzero(role == 1).tolist():
+        near = np.flatnonzero((100 * np.minimum(size[strays], size[b]) >= percent * np.maximum(size[strays], size[b])) & (comp[strays] != comp[b]) & ((strays < b) | (role is not None)))
+        if len(near):
+            up, down = (regs[strays[near]] > regs[b]).sum(1), (regs[strays[near]] < regs[b]).sum(1)
+            pairs.append((near, np.full(len(near), b), up, down))
+            waiting += len(near)
+        if waiting > PAIRS:  # what they join needs no further comparison
+            decide(pairs)
+            pairs, waiting, comp = [], 0, np.array([find(int(c)) for c in comp])
+    if pairs:
+        decide(pairs)
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
@@ -293,11 +304,28 @@ def cross_links(nodes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame
     return strays.unionByName(members).groupBy("cluster", "i", "j").applyInArrow(lambda t: block_links(t, percent), "a long, b long")
 
 
+def meetings(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """nodes (rep, cluster, comp, own, regs) as cross_links() takes them, where a cluster is whole, or each of its buckets that holds several
+    components: whichever makes fewer rows there. Clusters that hang together by chance grow faster than the input, their buckets don't."""
+    cost = lambda n: F.sum(n * F.ceil(n / block))
+    bands = band_rows(nodes).join(nodes.select("rep", "cluster", "comp"), "rep")
+    mixed = bands.groupBy("cluster", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster", "bucket", "n")
+    mixed = materialise(mixed, "mixed")
+    apart = mixed.groupBy("cluster").agg(cost(F.col("n")).alias("rows"))
+    whole = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select("cluster", (F.col("n") * F.ceil(F.col("n") / block)).alias("at_once"))
+    split = materialise(whole.join(apart, "cluster", "left").filter("coalesce(rows, 0) < at_once").select("cluster"), "split")
+    cut = bands.join(mixed.join(split, "cluster").select("cluster", "bucket"), ["cluster", "bucket"]).select("rep", F.xxhash64("cluster", "bucket").alias("cluster"))
+    return nodes.join(split, "cluster", "left_anti").select("rep", "cluster", "comp", "own", "regs").unionByName(cut.join(nodes.drop("cluster"), "rep").select("rep", "cluster", "comp", "own", "regs"))
+
+
 def with_least(edges: DataFrame, both_sides: bool = False, salts: int = 8) -> DataFrame:
     """u, v, m: edges beside the least neighbour m of u (or u itself, if that is less and both_sides is set). A node's edges
-    are dealt out over `salts` tasks by v, and its least neighbour goes to each of them, so a hub's edges don't meet in one."""
+    are dealt out over `salts` tasks by v, and its least neighbour goes to each of them, so a hub's edges don't meet in one.
+
+    The join is shuffled whatever the size: Spark takes the least neighbours, salted, for as small as the edges' file, and would send some millions
+    of rows through the driver."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", (F.least("m", "u") if both_sides else F.col("m")).alias("m"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(least, ["u", "salt"]).select("u", "v", "m")
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(least.hint("merge"), ["u", "salt"]).select("u", "v", "m")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -346,7 +374,8 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 80, block: int =
     comp = components(links)
     if large.head(1):
         wide = nodes.join(large.select("cluster"), "cluster").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        more = materialise(cross_links(wide, percent, block), "links")
+        wide = materialise(wide, "wide")
+        more = materialise(cross_links(meetings(wide, block), percent, block), "links")
         comp = components(links.union(more)) if more.head(1) else comp
     class_of = classes.select("set_key", "rep").join(comp, classes.rep == comp.node, "left").select("set_key", F.coalesce("comp", "rep").alias("component_id"))
     ids = sk.select("doc_id", "set_key", "n_shingles").join(one.withColumnsRenamed({"set_key": "own_key", "doc_id": "own_id"}), F.col("doc_id") == F.col("own_id"), "left").withColumn("set_key", F.col("own_key"))

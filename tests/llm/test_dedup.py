@@ -228,3 +228,33 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (300, 200)]
     got = {r.node: r.comp for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 90, 90: 90, 95: 90, 300: 200, 200: 200}
+
+
+def test_rounds_of_components_broadcast_nothing(spark):
+    """Salted rows of the least neighbours are eight times the edges, which Spark's estimate of the file doesn't know."""
+    edges = near_dedup.materialise(spark.createDataFrame([(k + 1, k // 2) for k in range(2000)], "u long, v long"), "edges")
+    plan = near_dedup.with_least(edges)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_chained_clusters_meet_by_buckets(spark, monkeypatch):
+    """A cluster that hangs together by neighbours alone: its rows grow with its documents, not with their square."""
+    rnd, rows, sizes = random.Random(4), [], []
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    for step in range(160):
+        rows.append((step, " ".join(words)))
+        at = rnd.randrange(160)
+        more = 4 if step % 10 == 9 else 34  # below the threshold, but neighbours share bands
+        words[at : at + more] = [f"n{rnd.randrange(10**6)}" for _ in range(more)]
+    meetings = near_dedup.meetings
+
+    def seen(nodes, block):
+        out = meetings(nodes, block)
+        sizes.append((nodes.count(), nodes.groupBy("cluster").count().selectExpr("sum(count * ceil(count / 4))").first()[0], out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "meetings", seen)
+    monkeypatch.setattr(near_dedup, "PAIRS", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(table(spark, rows), 4, 80, block=4).collect()}
+    assert got == brute_near(rows, 4, 80) and len({c for _, c in got.values()}) < 160
+    assert sizes and all(out < whole / 2 for _, whole, out in sizes)
