@@ -141,28 +141,30 @@ def bpe_of(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-IDS = "doc_id long, ids binary"
+IDS, BOTH = "doc_id long, ids binary", "doc_id long, ids binary, raw binary"
 
 
-def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, spread_chars: int = SPREAD) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, spread_chars: int = SPREAD, back: bool = False) -> DataFrame:
     """Returns one row per row of docs: doc_id, ids (little-endian unsigned 32-bit integers).
 
     Null and empty texts have no ids. Null ids stay null. Rows are encoded each for itself, so repeated rows stay.
-    The vocabulary file must lie at `path` on every executor."""
+    The vocabulary file must lie at `path` on every executor. back: with raw, what decode() gives for the ids, worked out by the same Python worker,
+    so that a core holds one vocabulary and one batch, not two of each."""
     rows = documents(docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    names = ["doc_id", "ids", "raw"] if back else ["doc_id", "ids"]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(path, pattern)
         for batch in slices(batches):
             ids = [bpe.encode(t, chunk, overlap) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
+            raw = [pa.array([bpe.decode(x) for x in ids], pa.binary())] if back else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), *raw], names=names)
 
     long = F.char_length("text") > spread_chars
-    return rows.filter(~long).mapInArrow(whole, IDS).unionByName(_spread(rows.filter(long), path, pattern, chunk, overlap))
+    return rows.filter(~long).mapInArrow(whole, BOTH if back else IDS).unionByName(_spread(rows.filter(long), path, pattern, chunk, overlap, back))
 
 
-def _spread(rows: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+def _spread(rows: DataFrame, path: str, pattern: str, chunk: int, overlap: int, back: bool) -> DataFrame:
     """The same for very long texts: chunk rows over the cluster, stitched by document."""
     wide = max(chunk, 1 << 18)
     cut = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").select("doc_id", "row", F.explode(F.transform(F.sequence(F.lit(0), ((F.char_length("text") - 1) / wide).cast("int")), lambda k: F.struct(k.alias("k"), F.substring(F.col("text"), k * wide + 1, F.lit(wide + overlap)).alias("text")))).alias("c")).select("doc_id", "row", "c.k", "c.text")
@@ -180,10 +182,11 @@ def _spread(rows: DataFrame, path: str, pattern: str, chunk: int, overlap: int)
         starts = [k * wide for k, _, _ in parts]
         ends = stitch(bpe, text, [[s + e for e in p[2]] for s, p in zip(starts, parts, strict=True)], starts, wide + overlap)
         ids = bpe.encode_pieces([text[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        return pa.table({"doc_id": group.column("doc_id").slice(0, 1).cast(pa.int64()), "ids": pa.array([ids], pa.binary())})
+        out = pa.table({"doc_id": group.column("doc_id").slice(0, 1).cast(pa.int64()), "ids": pa.array([ids], pa.binary())})
+        return out.append_column("raw", pa.array([bpe.decode(ids)], pa.binary())) if back else out
 
     scanned = cut.repartition("row", "k").mapInArrow(scan, "doc_id long, row long, k int, text string, ends array<int>")
-    return scanned.groupBy("row").applyInArrow(join, IDS)
+    return scanned.groupBy("row").applyInArrow(join, BOTH if back else IDS)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -28,7 +28,7 @@ def op4_exact_dedup(spark, sf_dir):
 
 
 def op5_byte_bpe(spark, sf_dir):
-    return byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), *BPE), *BPE))
+    return byte_bpe.digest(byte_bpe.encode(table(spark, sf_dir, "documents"), *BPE, back=True))
 
 
 def op6_chat_format(spark, sf_dir):

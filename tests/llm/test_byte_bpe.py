@@ -52,3 +52,12 @@ def test_documents(spark, oracle):
 
 def test_empty_table(spark):
     assert b.encode(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN).count() == 0
+
+
+def test_one_worker_encodes_and_decodes(spark):
+    docs = spark.createDataFrame([(1, "Hello there"), (2, None), (None, "né 日本"), (4, "the end " * 2000)], "doc_id long, text string")
+    both = b.encode(docs, PATH, P.PATTERN, 1000, 50, spread_chars=5000, back=True)
+    apart = b.decode(b.encode(docs, PATH, P.PATTERN, 1000, 50, spread_chars=5000), PATH, P.PATTERN)
+    assert both.columns == apart.columns and sorted(both.collect(), key=repr) == sorted(apart.collect(), key=repr)
+    plan = b.digest(b.encode(docs, PATH, P.PATTERN, back=True))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # short texts; chunks of long ones
