@@ -239,3 +239,32 @@ def test_followed_names(spark):
     paths = spark.createDataFrame([(1, "c", 9), (1, "b", 9), (1, "b", 4), (1, "z", 9)], "r int, path string, n int")
     got = linemaps.followed(paths, renames, ["r"])
     assert collected(got, "path", "n", "step", "name", "since") == sorted([("c", 9, 0, "c", 5), ("c", 9, 1, "b", 2), ("c", 9, 2, "a", None), ("b", 9, 0, "b", 6), ("b", 9, 1, "x", None), ("b", 4, 0, "b", 2), ("b", 4, 1, "a", None), ("z", 9, 0, "z", None)], key=repr)
+
+
+def test_lines_walk_and_climb_to_the_same_origins(spark, monkeypatch):
+    """Blocks of any number of versions, composed maps, crowds of lines dealt out; short histories write few tables."""
+    rng, labels, was = random.Random(9), [], linemaps.materialise
+    monkeypatch.setattr(linemaps, "materialise", lambda df, label: labels.append(label) or was(df, label))
+    hunks = [(r, f, n, p, rng.randint(0, 2), p, rng.randint(0, 3)) for r, f, last in (("a", 1, 30), ("a", 2, 9), ("b", 1, 17)) for n in range(1, last + 1) if n % 7 or f == 2 for p in [rng.randint(1, 20)]]
+    steps = linemaps.pieces(spark.createDataFrame(hunks, "r string, f int, n int, old_start int, old_count int, new_start int, new_count int"), ["r", "f"])
+    asked = [(r, f, v, k) for r, f, v in (("a", 1, 30), ("a", 1, 6), ("a", 2, 9), ("b", 1, 17), ("b", 1, 20), ("c", 1, 3)) for k in range(-1, 25)] + [(None, 1, 3, 4), ("a", None, 3, 4), ("a", 1, 30, 5)]
+    lines = spark.createDataFrame(asked, "r string, f int, v int, line int")
+    edits = {(h[0], h[1], h[2]): h[3:] for h in hunks}
+
+    def origin(r, f, v, k):
+        while v:
+            if (r, f, v) not in edits:  # a version without a row has no map
+                return v, k
+            old, gone, new, put = edits[r, f, v]
+            if k < 1 or new <= k < new + put:
+                return v, k
+            k, v = (k if k < new else k - put + gone), v - 1
+        return v, k
+
+    want = sorted(((r, f, v, k, *((None, None) if r is None or f is None else origin(r, f, v, k))) for r, f, v, k in asked), key=repr)
+    for span, rounds, pack in ((256, 8, 200_000), (4, 100, 20), (4, 2, 200_000)):
+        labels.clear()
+        monkeypatch.setattr(linemaps, "PACK", pack)
+        got = linemaps.origins(lines, steps, ["r", "f"], "v", "line", span, rounds)
+        assert collected(got, "r", "f", "v", "line", "born", "born_line") == want, (span, rounds)
+        assert len(labels) <= 5 or span == 4
