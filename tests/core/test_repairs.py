@@ -178,3 +178,12 @@ def test_places_of_a_warning_are_bounded(spark):
     got = {r.key: (r.total, [x["at"] for x in r.locations]) for r in joins.first_places(rows, ["key"], ["at"], 3).collect()}
     assert got == {"k": (500, [0, 1, 2]), "l": (1, [7])}
     assert warnings.LOCATIONS == 50
+
+
+def test_near_misses_of_all_groups(spark):
+    groups = [f"shared_start_of_{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(210)]
+    rows = {f"m{k}_{i}.py": (f"x = base_name({k})\n", f"x = {new}({k})\n") for k, new in enumerate(groups) for i in range(2)} | {"n.py": ("x = base_name(999)\n", "x = shared_start_of_zz(999)\n")}
+    got = analyze(change(spark, rows))
+    near = got.near.collect()
+    assert len(near) == 210 and len({r.unit_id for r in near}) == 1 and len({r.group_id for r in near}) == 210
+    assert got.warnings.filter("kind = 'near-miss'").count() == 210
