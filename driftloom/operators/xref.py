@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import categorize, identifier_words, language
 from . import concepts
 from .inspect import json_members
-from .warnings import identifiers
+from .warnings import named
 
 #: The most checks that are listed, lines that are too long to look at.
 MOST, LONGEST = 200, 1000
@@ -24,7 +24,7 @@ def deleted_names(unit_rows: DataFrame) -> DataFrame:
 def dangling(unit_rows: DataFrame, head: DataFrame, stems: DataFrame) -> DataFrame:
     """Lines at head that still name what the change deleted, for names that hold a concept's stem."""
     gone = deleted_names(unit_rows).join(stems.select("change_set_id", "stem"), "change_set_id").filter(F.array_contains(identifier_words(F.col("name")), F.col("stem"))).select("change_set_id", "name").distinct()
-    met = identifiers(head).filter(F.length("text") <= LONGEST).join(gone, ["change_set_id", "name"])
+    met = named(head, gone).filter(F.length("text") <= LONGEST)
     source = categorize(F.col("path"), language(F.col("path")).isNotNull())
     severity = F.when(source == "source", "error").when(source == "tests", "warning").otherwise("info")
     return met.select("change_set_id", F.lit("dangling").alias("code"), severity.alias("severity"), "path", "line", F.concat(F.lit("still names "), F.col("name")).alias("message")).distinct()
