@@ -249,7 +249,9 @@ def block_links(group: pa.Table, percent: int) -> pa.Table:
         keep = np.ones(len(near), bool)
         keep[ask] = likelihood_keeps(up[ask], down[ask], size[strays[near[ask]]].astype(float), size[of[ask]].astype(float), percent / 100)
         near, of = near[keep], of[keep]
-        edge = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+        if not len(of):
+            return
+        edge = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         for lo_, hi_ in zip(edge.tolist(), [*edge[1:].tolist(), len(of)], strict=True):
             b, own_near = int(of[lo_]), near[lo_:hi_]
             lo, hi = np.searchsorted(tokens, own[b]), np.searchsorted(tokens, own[b], "right")

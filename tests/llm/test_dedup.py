@@ -2,6 +2,8 @@ import random
 from collections import defaultdict
 from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +260,13 @@ def test_chained_clusters_meet_by_buckets(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(table(spark, rows), 4, 80, block=4).collect()}
     assert got == brute_near(rows, 4, 80) and len({c for _, c in got.values()}) < 160
     assert sizes and all(out < whole / 2 for _, whole, out in sizes)
+
+
+def test_blocks_whose_pairs_are_all_set_aside():
+    """Sets of at least M shingles whose registers tell that they are far apart: no pair is left for the full sets."""
+    sets = [near_dedup.mix(np.arange(1 + 10_000 * k, 2001 + 10_000 * k, dtype=np.uint64)) for k in range(3)]
+    own = [np.sort(s).tobytes() for s in sets]
+    block = {"rep": pa.array([1, 2, 3], pa.int64()), "own": pa.array(own, pa.binary()), "regs": pa.array([near_dedup.registers(s).tobytes() for s in sets], pa.binary())}
+    assert near_dedup.block_links(pa.table(block), 80).num_rows == 0
+    block |= {"role": pa.array([0, 1, 1], pa.int32()), "comp": pa.array([1, 2, 2], pa.int64())}
+    assert near_dedup.block_links(pa.table(block), 80).num_rows == 0
