@@ -309,13 +309,19 @@ def cross_links(nodes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame
 def meetings(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """nodes (rep, cluster, comp, own, regs) as cross_links() takes them, where a cluster is whole, or each of its buckets that holds several
     components: whichever makes fewer rows there. Clusters that hang together by chance grow faster than the input, their buckets don't."""
-    cost = lambda n: F.sum(n * F.ceil(n / block))
     bands = band_rows(nodes).join(nodes.select("rep", "cluster", "comp"), "rep")
-    mixed = bands.groupBy("cluster", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster", "bucket", "n")
-    mixed = materialise(mixed, "mixed")
-    apart = mixed.groupBy("cluster").agg(cost(F.col("n")).alias("rows"))
-    whole = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select("cluster", (F.col("n") * F.ceil(F.col("n") / block)).alias("at_once"))
-    split = materialise(whole.join(apart, "cluster", "left").filter("coalesce(rows, 0) < at_once").select("cluster"), "split")
+
+    def rows(parts: DataFrame, by: list[str]) -> DataFrame:
+        """by, rows, n: how many rows cross_links() makes of groups that hold several components. parts: by, comp, n."""
+        got = parts.groupBy(*by).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+        strays, blocks = F.col("n") - F.col("most"), lambda n: F.ceil(n / block)
+        return got.select(*by, (strays * blocks(F.col("n")) + F.col("n") * blocks(strays)).alias("rows"), "n")
+
+    mixed = materialise(rows(bands.groupBy("cluster", "bucket", "comp").agg(F.count(F.lit(1)).alias("n")), ["cluster", "bucket"]), "mixed")
+    # documents also go to each of their buckets
+    apart = mixed.groupBy("cluster").agg(F.sum(F.col("rows") + F.col("n")).alias("apart"))
+    whole = rows(nodes.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n")), ["cluster"])
+    split = materialise(whole.join(apart, "cluster", "left").filter("coalesce(apart, 0) < rows").select("cluster"), "split")
     cut = bands.join(mixed.join(split, "cluster").select("cluster", "bucket"), ["cluster", "bucket"]).select("rep", F.xxhash64("cluster", "bucket").alias("cluster"))
     return nodes.join(split, "cluster", "left_anti").select("rep", "cluster", "comp", "own", "regs").unionByName(cut.join(nodes.drop("cluster"), "rep").select("rep", "cluster", "comp", "own", "regs"))
 

@@ -270,3 +270,13 @@ def test_blocks_whose_pairs_are_all_set_aside():
     assert near_dedup.block_links(pa.table(block), 80).num_rows == 0
     block |= {"role": pa.array([0, 1, 1], pa.int32()), "comp": pa.array([1, 2, 2], pa.int64())}
     assert near_dedup.block_links(pa.table(block), 80).num_rows == 0
+
+
+def test_large_group_with_few_strays_meets_whole(spark):
+    """A large component and a few strays that share many buckets with it: fewer rows at once than bucket by bucket."""
+    regs = np.random.default_rng(5).integers(1000, 60_000, (63, near_dedup.M)).astype(np.uint16)
+    for b in range(20):  # a band that seven of the component and a stray have
+        regs[[*((3 * b + k) % 60 for k in range(7)), 60 + b % 3], near_dedup.ROWS * b : near_dedup.ROWS * (b + 1)] = b
+    rows = [(k, 0, 0 if k < 60 else k, b"", regs[k].tobytes()) for k in range(63)]
+    nodes = near_dedup.materialise(spark.createDataFrame(rows, "rep long, cluster long, comp long, own binary, regs binary"), "wide")
+    assert near_dedup.meetings(nodes, 8).count() == len(rows)
